@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import copies, lookalikes, packing, sentences, splitting, tokens
+from tessella.llm import copies, flows, lookalikes, near, neighbours, packing, sentences, splitting, tokens
 from tessella.llm.common import records
 
 
@@ -22,6 +22,18 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.distinct_records(records(spark, sf_dir, "chunks", "content"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(spark.read.parquet(f"{sf_dir}/dense.parquet"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.first_places(flows.scores_of(spark.read.parquet(f"{sf_dir}/ranked.parquet"))).select("query_id", "id")
+
+
+def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.ranking(flows.scores_of(spark.read.parquet(f"{sf_dir}/ranked.parquet")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.cut_points(records(spark, sf_dir, "docstore", "content"))
 
@@ -30,6 +42,11 @@ def p5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_texts(records(spark, sf_dir, "docstore", "content"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, chunks = (spark.read.parquet(f"{sf_dir}/{t}.parquet").select("id", "content") for t in ("docstore", "chunks"))
+    return near.near_duplicates(docs).unionAll(near.near_duplicates(chunks, without_copies=True))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
