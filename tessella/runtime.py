@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder}"
 
 
+def local_rows(spark: SparkSession, **columns: list) -> DataFrame:
+    """Values of the driver as a local relation, which the optimiser can see through."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -45,9 +51,9 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 def latest(df: DataFrame, key: list[str], payload: list[str], version: str = "ingested_at") -> DataFrame:
     """One row per key: the payload of the last version. Partial aggregation runs before the shuffle, so a hot key is harmless."""
-    order = [version] if version in df.columns else []
-    picked = F.max(F.struct(*[F.col(c) for c in [*order, *payload]])).alias("_picked")
-    return df.groupBy(*key).agg(picked).select(*key, *[F.col("_picked")[c].alias(c) for c in payload])
+    order = F.col(version) if version in df.columns else F.lit(0)
+    picked = F.max(F.struct(order.alias("_version"), F.struct(*payload).alias("_payload"))).alias("_picked")
+    return df.groupBy(*key).agg(picked).select(*key, *[F.col("_picked._payload")[c].alias(c) for c in payload])
 
 
 def hot_keys(df: DataFrame, key: str) -> list:
