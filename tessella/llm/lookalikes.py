@@ -40,9 +40,9 @@ _LETTERS = (
 # Hyphens, dots and spaces by what they count as.
 _HYPHENS = "‐‑‒−⁃˗﹣－"
 _DOTS = {"…": "...", "‥": "..", "․": "."}
-_VISIBLE_FORMAT = "؀؁؂؃؄؅۝܏࢐࢑࣢"
-_UNSEEN_MORE = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ"
-_LINES = "\t\n\x0b\x0c\r\x85  "
+_VISIBLE_FORMAT = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2"
+_UNSEEN_MORE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u180f\u3164\uffa0"
+_LINES = "\t\n\x0b\x0c\r\x85\u2028\u2029"
 _CONTROLS = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 #: Most words whose canonical spelling is sent to every task; more are joined to the texts' own words.
 WORDS = 200_000

@@ -245,7 +245,7 @@ def segment_block(block: str, lang: str, has: Callable[[str], bool]) -> list[int
         """Past closing marks at k that belong to the sentence."""
         while k < n:
             j = k
-            while j < n and block[j] in "\xa0  " and j + 1 < n and block[j + 1] in "»›":
+            while j < n and block[j] in "\xa0\u202f " and j + 1 < n and block[j + 1] in "»›":
                 j += 1
             if j < n and block[j] in _CLOSERS and j not in spans:
                 k = j + 1
