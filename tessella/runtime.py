@@ -66,12 +66,12 @@ def hot_keys(df: DataFrame, key: str) -> list:
     return [r[0] for r in counts.filter((F.col("_n") >= least) & F.col(key).isNotNull()).select(key).collect()]
 
 
-def skew_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
-    """Join rows of ``many`` to the single row per key of ``one``; hot keys are split over HOT_SALTS tasks.
+def skew_join(many: DataFrame, one: DataFrame, key: str, spread: Column, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """Join rows of ``many`` to the few rows per key of ``one``; hot keys are split over HOT_SALTS tasks.
 
-    ``spread`` is any well-distributed expression over ``many``.
+    ``spread`` is any well-distributed expression over ``many``, ``hot`` its hot keys where they are known already.
     """
-    hot = hot_keys(many, key)
+    hot = hot_keys(many, key) if hot is None else hot
     if not hot:
         return many.join(one, key, how)
     salt = F.when(F.col(key).isin(hot), F.pmod(F.hash(spread), F.lit(HOT_SALTS))).otherwise(F.lit(0))
