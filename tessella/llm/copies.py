@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import WS, code_points, strings
-from tessella.runtime import skew_join, stored
+from tessella.runtime import hot_keys, skew_join, stored
 
 _TABLE = 0x20000  # above it lie only letters, marks and unassigned code points, which stay as they are
 _KEEP, _SKIP, _SPACE, _DIGIT, _WIDE = range(5)
@@ -281,9 +281,10 @@ def copies(docs: DataFrame) -> DataFrame:
     # The content of most rows is alone with its hash and is never shuffled again.
     hashed = stored(docs.select("id", "content").mapInPandas(_hash_batches, "id string, content string, h long"))
     groups = hashed.groupBy("h").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "keep_id")
-    members = hashed.join(groups, "h")
+    hot = hot_keys(hashed, "h")
+    members = skew_join(hashed, groups, "h", F.col("id"), hot=hot)
     kept = members.filter("id = keep_id").select("h", F.col("content").alias("kept"))
-    checked = stored(skew_join(members.filter("id != keep_id"), kept, "h", F.col("id")).select("id", "content", "kept", "keep_id", "h").mapInPandas(_verify_batches, "keep_id string, copy_id string, h long, digest string"))
+    checked = stored(skew_join(members.filter("id != keep_id"), kept, "h", F.col("id"), hot=hot).select("id", "content", "kept", "keep_id", "h").mapInPandas(_verify_batches, "keep_id string, copy_id string, h long, digest string"))
     # Rows that only collided with the smallest id: groups of their own, by a 128-bit digest.
     apart = checked.filter("digest IS NOT NULL")
     own = apart.groupBy("h", "digest").agg(F.min("copy_id").alias("first_id"))

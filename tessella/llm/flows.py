@@ -165,7 +165,8 @@ def first_places(scores: DataFrame, places: int = 3, weights: dict[int, float] |
     proven: DataFrame | None = None
     size = CANDIDATES
     while True:
-        best = flows.join(open_queries, "query_id", "left_semi").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
+        asked = flows if proven is None else skew_join(flows, open_queries.select("query_id"), "query_id", F.col("id"), "left_semi")
+        best = asked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
         named = best.join(docs, ["query_id", "id"]).groupBy("query_id").agg(F.collect_list(F.struct("id", "scores")).alias("candidates"))
         unbeaten = skew_join(docs, named, "query_id", F.col("id")).select("query_id", "id", "scores", "candidates").mapInPandas(_unbeaten, "query_id long, id string, unbeaten long")
         unbeaten = unbeaten.groupBy("query_id", "id").agg(F.sum("unbeaten").alias("unbeaten"))

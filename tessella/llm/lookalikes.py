@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import code_points, strings
-from tessella.runtime import skew_join, stored
+from tessella.runtime import hot_keys, skew_join, stored
 
 # Letters of other scripts that look like the Latin letter below them.
 _LETTERS = (
@@ -293,6 +293,11 @@ def same_looking(docs: DataFrame, key: str = "doc_id", limit: int = WORDS) -> Da
     forms = stored(seen.filter(visible).select(key, F.sha2("canonical", 256).alias("looks"), F.sha2("text", 256).alias("exact")))
     several = forms.groupBy("looks").agg(F.min("exact").alias("low"), F.max("exact").alias("high")).filter("low < high").select("looks")
     members = forms.join(several, "looks")
-    other = members.select("looks", F.col(key).alias("_b"), F.col("exact").alias("_exact"))
-    pairs = members.join(other, "looks").filter((F.col(key) < F.col("_b")) & (F.col("exact") != F.col("_exact")))
-    return pairs.select(F.col(key).alias(f"{key}_a"), F.col("_b").alias(f"{key}_b"))
+    # Texts are paired once each, then spread over the rows that hold them: equal texts never meet in pairs.
+    members = stored(members)
+    texts = members.select("looks", "exact").distinct()
+    pairs = texts.join(texts.withColumnRenamed("exact", "_exact"), "looks").filter(F.col("exact") < F.col("_exact")).select("exact", "_exact")
+    hot = hot_keys(members, "exact")
+    left = skew_join(members.select("exact", F.col(key).alias("_a")), pairs, "exact", F.col("_a"), hot=hot).select("_a", F.col("_exact").alias("exact"))
+    both = skew_join(members.select("exact", F.col(key).alias("_b")), left, "exact", F.col("_b"), hot=hot)
+    return both.select(F.least("_a", "_b").alias(f"{key}_a"), F.greatest("_a", "_b").alias(f"{key}_b"))

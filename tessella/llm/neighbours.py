@@ -22,13 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.runtime import stored
+from tessella.runtime import skew_join, stored
 
 DIM, NEIGHBOURS, LEAST_COSINE = 64, 10, 0.80
 #: Vectors that train cells and codebooks, at most.
 SAMPLE = 20_000
 #: Cells per square root of the number of vectors, cells a vector looks into, vectors of a block.
 CELLS, MOST_CELLS, PROBES, BLOCK = 0.5, 16_384, 12, 8192
+#: Vectors that ask one block of an index in one task.
+ASKERS = 65_536
 #: Dimensions a codeword covers, weight of the residual along the vector (for scores above 0.2), candidates that are reranked.
 STEP, ETA, RERANKED = 2, (DIM - 1) * 0.04 / 0.96, 48
 _PARTS = DIM // STEP
@@ -131,27 +133,37 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<f4").reshape(-1, DIM)
 
 
-def _assigned(centres: np.ndarray, books: np.ndarray, blocks: dict[int, int] | None):
-    """Without ``blocks``: each vector's cell. With them: a row for its own block and one for each block it looks into."""
+def _assigned(centres: np.ndarray, books: np.ndarray, blocks: dict[int, int] | None, askers: dict[int, int] | None = None):
+    """Without ``blocks``: how many vectors lie in each cell and how many look into it. With them: rows for each
+    vector's own block, one for each part of those who ask it, and a row for each block the vector looks into."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, asked = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
         for pdf in batches:
             if not len(pdf):
                 continue
             x = _matrix(pdf["unit"])
-            near = _nearest(x, centres, 1 if blocks is None else min(PROBES, len(centres)))
+            near = _nearest(x, centres, min(PROBES, len(centres)))
             if blocks is None:
-                yield pd.DataFrame({"cell": near[:, 0]})
+                held += np.bincount(near[:, 0], minlength=len(centres))
+                asked += np.bincount(near.ravel(), minlength=len(centres))
                 continue
             number = pd.util.hash_array(pdf["gid"].to_numpy(dtype=object), categorize=False)
             packed = encode(x, books)
             packed = (packed[:, 0::2] << 4 | packed[:, 1::2]).astype(np.uint8)
-            own = near[:, 0]
-            split = np.array([blocks.get(int(c), 1) for c in own], dtype=np.uint64)
-            yield pd.DataFrame({"cell": own, "block": (number % split).astype(np.int64), "gid": pdf["gid"], "unit": pdf["unit"], "code": [r.tobytes() for r in packed]})
-            rows = [(k, int(c), b) for k in range(len(x)) for c in near[k] for b in range(blocks.get(int(c), 1))]
-            at = [r[0] for r in rows]
-            yield pd.DataFrame({"cell": [r[1] for r in rows], "block": [r[2] for r in rows], "gid": pdf["gid"].iloc[at].to_numpy(), "unit": pdf["unit"].iloc[at].to_numpy(), "code": [None] * len(rows)})
+            rows = []
+            for k in range(len(x)):
+                own = int(near[k, 0])
+                block = int(number[k] % np.uint64(blocks.get(own, 1)))
+                rows += [(own, block, p, k, True) for p in range(askers.get(own, 1))]
+                for c in map(int, near[k]):
+                    part = int((number[k] >> np.uint64(20)) % np.uint64(askers.get(c, 1)))
+                    rows += [(c, b, part, k, False) for b in range(blocks.get(c, 1))]
+            at = [r[3] for r in rows]
+            codes = [r.tobytes() for r in packed]
+            yield pd.DataFrame({"cell": [r[0] for r in rows], "block": [r[1] for r in rows], "part": [r[2] for r in rows], "gid": pdf["gid"].iloc[at].to_numpy(), "unit": pdf["unit"].iloc[at].to_numpy(), "code": [codes[r[3]] if r[4] else None for r in rows]})
+        if blocks is None:
+            yield pd.DataFrame({"cell": np.arange(len(centres)), "held": held, "asked": asked})
 
     return run
 
@@ -197,10 +209,11 @@ def neighbour_groups(groups: DataFrame) -> DataFrame:
     cells = int(np.clip(CELLS * np.sqrt(n), 1, min(MOST_CELLS, len(x))))
     centres = _kmeans(x, cells, 10, 7, spherical=True)
     books = train_codebooks(x)
-    sizes = groups.mapInPandas(_assigned(centres, books, None), "cell long").groupBy("cell").count().collect()
-    blocks = {r["cell"]: -(-r["count"] // BLOCK) for r in sizes}
-    rows = groups.select("gid", "unit").mapInPandas(_assigned(centres, books, blocks), "cell long, block long, gid string, unit binary, code binary")
-    found = rows.groupBy("cell", "block").applyInPandas(_searched(books), "gid string, other string, cosine double")
+    sizes = groups.mapInPandas(_assigned(centres, books, None), "cell long, held long, asked long").groupBy("cell").agg(F.sum("held").alias("held"), F.sum("asked").alias("asked")).collect()
+    blocks = {r["cell"]: -(-r["held"] // BLOCK) for r in sizes if r["held"] > BLOCK}
+    askers = {r["cell"]: -(-r["asked"] // ASKERS) for r in sizes if r["asked"] > ASKERS}
+    rows = groups.select("gid", "unit").mapInPandas(_assigned(centres, books, blocks, askers), "cell long, block long, part long, gid string, unit binary, code binary")
+    found = rows.groupBy("cell", "block", "part").applyInPandas(_searched(books), "gid string, other string, cosine double")
     best = Window.partitionBy("gid").orderBy(F.desc("cosine"), "other")
     return found.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= NEIGHBOURS).drop("k")
 
@@ -232,7 +245,7 @@ def nearest(vectors: DataFrame) -> DataFrame:
     named = groups.select("gid", "ids").join(lists, "gid", "left").select("ids", "others").mapInPandas(_listed, "id string, neighbour string, cosine double")
     # Ids beyond the first of a shared vector: their nearest are the first ones.
     crowded = groups.filter(F.size("ids") > NEIGHBOURS).select("unit", F.slice("ids", 1, NEIGHBOURS).alias("near"), F.col("ids")[NEIGHBOURS].alias("last"))
-    rest = unit.join(crowded, "unit").filter(F.col("id") > F.col("last")).select("id", F.explode("near").alias("neighbour"), F.lit(1.0).alias("cosine"))
+    rest = skew_join(unit, crowded, "unit", F.col("id")).filter(F.col("id") > F.col("last")).select("id", F.explode("near").alias("neighbour"), F.lit(1.0).alias("cosine"))
     return named.unionByName(rest)
 
 
