@@ -43,6 +43,7 @@ _DOTS = {"…": "...", "‥": "..", "․": "."}
 _VISIBLE_FORMAT = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2"
 _UNSEEN_MORE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u180f\u3164\uffa0"
 _LINES = "\t\n\x0b\x0c\r\x85\u2028\u2029"
+_CONFUSED = {"LATIN", "CYRILLIC", "GREEK", "ARMENIAN"}
 _CONTROLS = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 #: Most words whose canonical spelling is sent to every task; more are joined to the texts' own words.
 WORDS = 200_000
@@ -112,7 +113,7 @@ def words(text: str) -> list[tuple[int, int]]:
 
 
 def _odd(word: str) -> bool:
-    """Whether a word holds anything but ordinary spelling: invisible or mapped characters beside letters of another script."""
+    """Whether a word holds anything but ordinary spelling: invisible or mapped characters, or letters of several scripts that look alike."""
     if word.isascii():
         return not word.isprintable()
     if unicodedata.normalize("NFC", word) != word:
@@ -122,7 +123,7 @@ def _odd(word: str) -> bool:
     mapped = [ch for ch in low if ord(ch) in t]
     if any(not ch.isalpha() or unicodedata.decomposition(ch).startswith("<") or not t[ord(ch)] for ch in mapped):
         return True
-    return bool(mapped) and len({_script(ch) for ch in low if ch.isalpha()}) > 1
+    return len({_script(ch) for ch in low if ch.isalpha()} & _CONFUSED) > 1
 
 
 @lru_cache(maxsize=100_000)
