@@ -41,6 +41,8 @@ BLOCKS = BINS // BLOCK * ROUNDS
 #: Block entries that one task joins.
 ENTRIES = 1_500_000
 _LOW40 = np.uint64((1 << 40) - 1)
+#: Steps a factor e of a set's size has in a class's short code, whose upper ten bits they are; the rest is its hash.
+_STEPS, _HASH_BITS = 32, 30
 _BATCH = 1000
 
 
@@ -130,6 +132,11 @@ def _class_of(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
 
 
+def short_code(cls: int, size: int) -> int:
+    """Forty bits that stand for a class while blocks are joined: its size band and a part of its hash."""
+    return min(1023, round(np.log(size) * _STEPS)) << _HASH_BITS | cls & (1 << _HASH_BITS) - 1
+
+
 def _taking_part(pdf: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
     ids, texts = [], []
     for i, t in zip(pdf["id"], strings(pdf["content"])):
@@ -145,7 +152,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for ids, texts in _taking_part(pdf):
             sets = tokens(texts)
-            yield pd.DataFrame({"id": ids, "class": [_class_of(t) for t in texts], "size": [len(s) for s in sets], "sketch": [parity_sketch(s) for s in sets]})
+            yield pd.DataFrame({"id": ids, "class": (own := [_class_of(t) for t in texts]), "code": [short_code(c, len(s)) for c, s in zip(own, sets)], "size": [len(s) for s in sets], "sketch": [parity_sketch(s) for s in sets]})
 
 
 def _entries(parts: int):
@@ -163,8 +170,9 @@ def _entries(parts: int):
                     seen.clear()
                 if not fresh:
                     continue
-                blocks = block_sketches(tokens(list(fresh.values()))).ravel()
-                classes = np.repeat(np.fromiter(fresh, dtype=np.uint64, count=len(fresh)), BLOCKS) & _LOW40
+                sets = tokens(list(fresh.values()))
+                blocks = block_sketches(sets).ravel()
+                classes = np.repeat(np.array([short_code(c, len(s)) for c, s in zip(fresh, sets)], dtype=np.uint64), BLOCKS)
                 part = (blocks >> np.uint64(40)) % np.uint64(parts) if parts > 1 else np.zeros(len(blocks), np.uint64)
                 # Five bytes of block and five of class an entry; the rest of the block is in the part's number.
                 order = np.argsort(part, kind="stable")
@@ -192,6 +200,9 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
     # Each entry pairs with those before it in its run: sorted by class, so the smaller class comes first.
     first = np.repeat(np.arange(len(block)), place)
     back = np.arange(len(first)) - np.repeat(np.cumsum(place) - place, place) + 1
+    # Codes begin with the size, so pairs of sizes too far apart show at once (one step of slack for rounding).
+    close = (cls[first] >> _HASH_BITS) - (cls[first - back] >> _HASH_BITS) <= np.log(1 / SIMILARITY) * _STEPS + 1
+    first, back = first[close], back[close]
     pairs = np.unique(np.stack([cls[first - back], cls[first]], axis=1), axis=0) if len(first) else np.empty((0, 2), np.int64)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -218,26 +229,38 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def class_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(class_a, class_b): classes of ``members`` whose texts reach the similarity."""
+    """(class_a, class_b, rep_a, rep_b): classes of ``members`` that share a block and pass the bounds, with their smallest ids."""
     part_count = max(1, -(-members.count() * BLOCKS // ENTRIES))
     entries = docs.select("id", "content").mapInPandas(_entries(part_count), "part int, entries binary")
     found = stored(entries.groupBy("part").applyInPandas(lambda pdf: _joined(pdf), "a long, b long").distinct())
-    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 40) - 1))
-    classes = members.groupBy("class").agg(F.min(F.struct("id", "size", "sketch")).alias("one"))
-    side = lambda s: classes.select(low("class").alias(s), F.col("class").alias(f"class_{s}"), F.col("one.id").alias(f"rep_{s}"), F.col("one.size").alias(f"size_{s}"), F.col("one.sketch").alias(f"sketch_{s}"))
+    classes = members.groupBy("class").agg(F.min(F.struct("id", "code", "size", "sketch")).alias("one"))
+    side = lambda s: classes.select(F.col("one.code").alias(s), F.col("class").alias(f"class_{s}"), F.col("one.id").alias(f"rep_{s}"), F.col("one.size").alias(f"size_{s}"), F.col("one.sketch").alias(f"sketch_{s}"))
     near = found.join(side("a"), "a").join(side("b"), "b")
     near = near.filter((F.col("size_a") >= SIMILARITY * F.col("size_b") - 1e-9) & (F.col("size_b") >= SIMILARITY * F.col("size_a") - 1e-9))
     near = stored(near.mapInPandas(_bound, "class_a long, class_b long, rep_a string, rep_b string"))
-    needed = near.select(F.col("rep_a").alias("id")).unionAll(near.select(F.col("rep_b").alias("id"))).distinct()
-    texts = stored(docs.select("id", "content").join(needed, "id", "left_semi").groupBy("id").agg(F.max("content").alias("content")))
+    return near
+
+
+def _texts_of(docs: DataFrame, members: DataFrame, near: DataFrame, whole_classes: bool) -> DataFrame:
+    """(id, content) of the texts that pairs need: of each class in ``near`` the smallest id, or all ids of all classes that make pairs."""
+    reps = near.select(F.col("rep_a").alias("id")).unionAll(near.select(F.col("rep_b").alias("id"))).distinct()
+    if whole_classes:
+        linked = near.select(F.col("class_a").alias("class")).unionAll(near.select(F.col("class_b").alias("class")))
+        several = members.groupBy("class").agg(F.countDistinct("id").alias("n")).filter("n > 1").select("class")
+        reps = members.select("id", "class").join(linked.unionAll(several).distinct(), "class", "left_semi").select("id").distinct()
+    return docs.select("id", "content").join(reps, "id", "left_semi").groupBy("id").agg(F.max("content").alias("content"))
+
+
+def verified(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """(class_a, class_b) of the pairs whose texts reach the similarity."""
     both = near.join(texts.select(F.col("id").alias("rep_a"), F.col("content").alias("content_a")), "rep_a")
     both = both.join(texts.select(F.col("id").alias("rep_b"), F.col("content").alias("content_b")), "rep_b")
     return both.mapInPandas(_verify, "class_a long, class_b long")
 
 
 def memberships(docs: DataFrame) -> DataFrame:
-    """(id, class, size, sketch) of every text long enough."""
-    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("class", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
+    """(id, class, code, size, sketch) of every text long enough."""
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("class", T.LongType()), T.StructField("code", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
     return stored(docs.select("id", "content").mapInPandas(_members, schema))
 
 
@@ -252,7 +275,9 @@ def near_duplicates(docs: DataFrame, without_copies: bool = False) -> DataFrame:
     ``without_copies`` leaves out pairs that are equal apart from formatting.
     """
     members = memberships(docs)
-    links = stored(class_pairs(docs, members))
+    near = class_pairs(docs, members)
+    texts = stored(_texts_of(docs, members, near, without_copies))
+    links = stored(verified(near, texts))
     ids = members.select("id", "class").distinct()
     left, right = (ids.select(F.col("id").alias(f"id_{s}"), F.col("class").alias(f"class_{s}")) for s in "ab")
     across = links.join(left, "class_a").join(right, "class_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
@@ -262,8 +287,6 @@ def near_duplicates(docs: DataFrame, without_copies: bool = False) -> DataFrame:
     if not without_copies:
         return pairs
     pairs = stored(pairs)
-    needed = pairs.select(F.col("id_a").alias("id")).unionAll(pairs.select(F.col("id_b").alias("id"))).distinct()
-    texts = docs.select("id", "content").join(needed, "id", "left_semi").groupBy("id").agg(F.max("content").alias("content"))
     hashes = stored(texts.mapInPandas(_copy_hashes, "id string, copy long"))
     return (
         pairs.join(hashes.select(F.col("id").alias("id_a"), F.col("copy").alias("copy_a")), "id_a")
