@@ -46,3 +46,10 @@ def traced(operation: str, call: Callable, spark: SparkSession | None = None, on
                 on_end(operation, error)
 
     return run
+
+
+def cancel(operation: str, spark: SparkSession) -> None:
+    """Cancel the running jobs of an operation; it ends with Spark's error and without partial output."""
+    if operation not in OPERATIONS:
+        raise InvalidArgument(f"operation {operation!r}")
+    spark.sparkContext.cancelJobsWithTag(f"tessella.{operation}")

@@ -22,7 +22,7 @@ def tagged(lists: Sequence[DataFrame], rank: str = "rank") -> DataFrame | None:
 
 
 def reciprocal_rank_fusion(ranked: DataFrame, k: float, by: Sequence[str] = (), payload: Sequence[str] = (), check_payload: bool = False) -> DataFrame:
-    """(*by, id, *payload, score, relevance, position): lists (list_no, rank from 0, id) merged per ``by``.
+    """(*by, id, *payload, score, relevance, and with ``by`` position), ordered by relevance without: lists (list_no, rank from 0, id) merged per ``by``.
 
     An item's score is the sum of 1/(k + rank + 1) over its places, added up in (list, rank) order so that the
     last digit doesn't depend on the partitioning; relevance is its share of the best score; ties go by id.
@@ -45,12 +45,12 @@ def reciprocal_rank_fusion(ranked: DataFrame, k: float, by: Sequence[str] = (),
     scored = merged.withColumn("score", score).drop("_places")
     if by:
         top = scored.groupBy(*by).agg(F.max("score").alias("_top"))
-        joined = scored.join(top, list(by))
-    else:
-        joined = scored.crossJoin(F.broadcast(scored.agg(F.max("score").alias("_top"))))
-    relevant = joined.withColumn("relevance", clamped(F.col("score") / F.col("_top"))).drop("_top")
-    order = Window.partitionBy(*by).orderBy(F.desc("relevance"), "id") if by else Window.orderBy(F.desc("relevance"), "id")
-    return relevant.withColumn("position", F.row_number().over(order) - 1)
+        relevant = scored.join(top, list(by)).withColumn("relevance", clamped(F.col("score") / F.col("_top"))).drop("_top")
+        order = Window.partitionBy(*by).orderBy(F.desc("relevance"), "id")
+        return relevant.withColumn("position", F.row_number().over(order) - 1)
+    # One ranking over everything: its best score is one number, its order a distributed sort, without a window over one task.
+    top = scored.agg(F.max("score")).first()[0]
+    return by_relevance(scored.withColumn("relevance", clamped(F.col("score") / F.lit(top))))
 
 
 def by_relevance(df: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ from tessella.operators import ranking as R
 from tessella.operators import search as S
 from tessella.operators import stores as D
 from tessella.resilience import map_ordered, retrying, with_fallback
-from tessella.schema import STANDARD, SchemaBuilder
+from tessella.schema import STANDARD, Schema, SchemaBuilder
+from tessella.sources.stores import DocumentStore, GraphStore
 from tessella.sources.tables import VersionedTable, decoded_attributes, upserted
 from tessella.streaming.upserts import record_stream, upsert_stream
 
@@ -163,9 +164,9 @@ def ranked(spark, *lists):
 
 
 def test_rank_fusion(spark):
-    got = R.reciprocal_rank_fusion(ranked(spark, [("a", ""), ("b", ""), ("c", "")], [("b", ""), ("d", "")]), 60).orderBy("position").collect()
+    got = R.reciprocal_rank_fusion(ranked(spark, [("a", ""), ("b", ""), ("c", "")], [("b", ""), ("d", "")]), 60).collect()
     assert [(r.id, r.relevance) for r in got] == [("b", 1.0), ("a", 0.5040650406504065), ("d", 0.4959349593495934), ("c", 0.48806297586785385)]
-    tie = R.reciprocal_rank_fusion(ranked(spark, [("a", ""), ("b", "")], [("b", ""), ("a", "")]), 60).orderBy("position").collect()
+    tie = R.reciprocal_rank_fusion(ranked(spark, [("a", ""), ("b", "")], [("b", ""), ("a", "")]), 60).collect()
     assert [(r.id, r.relevance) for r in tie] == [("a", 1.0), ("b", 1.0)]
     with pytest.raises(E.InvalidArgument):
         R.reciprocal_rank_fusion(ranked(spark, [("a", "")]), 0)
@@ -291,6 +292,28 @@ def test_graph_upserts(spark):
         G.guarded_edges(G.Graph(g.nodes.filter("id != 'n3'"), g.edges)).edges.collect()
 
 
+def test_store_facades(spark, tmp_path):
+    store = DocumentStore(spark, f"file://{tmp_path}/d", "docs", STANDARD)
+    store.upsert([{"id": "a", "content": "red fox", "attributes": {"tenant": "acme", "age": 7.0}, "vector": [1.0, 0.0]}, {"id": "b", "content": "dog", "vector": [0.0, 1.0]}])
+    assert [r.id for r in store.search([1.0, 0.0], page=Page(1)).collect()] == ["a"] and store.schema is STANDARD
+    assert store.lexical(["content"]).search("fox", page=Page(3)).first().id == "a"
+    for bad in ([{"id": "c", "content": "x", "attributes": {"other": 1}, "vector": [1.0]}], [{"id": "", "content": "x", "vector": [1.0]}], [{"id": "c", "content": "x", "vector": []}], [{"id": "c", "vector": [1.0]}, {"id": "c", "vector": [2.0]}]):
+        with pytest.raises(E.EngineError):
+            store.upsert(bad)
+    assert store.find_by_ids(["b", "c"]).count() == 1
+    assert store.delete_by_filter(P.normalise(P.equal(STANDARD.string("tenant"), "acme"))) == 1 and store.delete_by_ids(["a", "b"]) == 1
+    assert store.upsert([]) == 0 and store.delete_by_ids([]) == 0
+    with pytest.raises(E.InvalidArgument):
+        DocumentStore(spark, "x", "bad-name", STANDARD)
+    with pytest.raises(E.InvalidArgument):
+        DocumentStore(spark, "x", "docs", Schema())
+    graph_store = GraphStore(spark, f"file://{tmp_path}/g", G.GraphSchema(SchemaBuilder().string("tenant").build(), SchemaBuilder().string("kind").build()))
+    graph_store.upsert(graph(spark))
+    graph_store.upsert(graph(spark))
+    out = graph_store.traverse(G.Traversal(["n1"], "outbound", 2))
+    assert out.nodes.count() == 3 and out.edges.count() == 2
+
+
 def test_providers():
     seen = []
 
