@@ -270,12 +270,12 @@ def delete_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_DENSE}, old AS (SELECT id, content FROM ds WHERE id < 'vec-000000400'), new AS (SELECT id, upper(content) AS content FROM ds WHERE id >= 'vec-000000200')
+    f"""WITH {_DENSE}, old AS (SELECT id, content FROM ds WHERE id < 'vec-000000400'), new AS (SELECT id, content || ' (new)' AS content FROM ds WHERE id >= 'vec-000000200')
     SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new"""
 )
 def upsert_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.dense(spark, sf_dir).select("id", "content")
-    return tables.upserted(rows.filter("id < 'vec-000000400'"), rows.filter("id >= 'vec-000000200'").withColumn("content", F.upper("content")))
+    return tables.upserted(rows.filter("id < 'vec-000000400'"), rows.filter("id >= 'vec-000000200'").withColumn("content", F.concat("content", F.lit(" (new)"))))
 
 
 _SOLID = f"{_TRIM.format('content')} <> ''"
