@@ -44,10 +44,9 @@ def reciprocal_rank_fusion(ranked: DataFrame, k: float, by: Sequence[str] = (),
         merged = merged.filter(F.when(F.col("_low") == F.col("_high"), True).otherwise(F.raise_error(F.lit("InvalidArgument: one id, several payloads")).cast("boolean"))).drop("_low", "_high")
     scored = merged.withColumn("score", score).drop("_places")
     if by:
-        top = scored.groupBy(*by).agg(F.max("score").alias("_top"))
-        relevant = scored.join(top, list(by)).withColumn("relevance", clamped(F.col("score") / F.col("_top"))).drop("_top")
-        order = Window.partitionBy(*by).orderBy(F.desc("relevance"), "id")
-        return relevant.withColumn("position", F.row_number().over(order) - 1)
+        whole = Window.partitionBy(*by)
+        relevant = scored.withColumn("relevance", clamped(F.col("score") / F.max("score").over(whole)))
+        return relevant.withColumn("position", F.row_number().over(whole.orderBy(F.desc("relevance"), "id")) - 1)
     # One ranking over everything: its best score is one number, its order a distributed sort, without a window over one task.
     top = scored.agg(F.max("score")).first()[0]
     return by_relevance(scored.withColumn("relevance", clamped(F.col("score") / F.lit(top))))

@@ -85,7 +85,7 @@ def normalize_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH ls AS (SELECT DISTINCT query_id, list_no, id, content, relevance FROM ranked WHERE content IS NOT NULL) SELECT query_id, list_no, id, round(CASE WHEN relevance IS NOT NULL THEN greatest(0, least(1, relevance)) END, 6) AS relevance FROM ls")
 def project_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = tables.ranked(spark, sf_dir).filter("content IS NOT NULL")
+    hits = tables.ranked(spark, sf_dir, "content", "relevance").filter("content IS NOT NULL")
     return hits.select("query_id", "list_no", "id", F.round(clamped(F.col("relevance")), 6).alias("relevance"))
 
 
@@ -110,7 +110,9 @@ def _nearest_sql(where: str, tail: str, relevance: str = "1 / (1 + d)") -> str:
 
 
 def _dense(spark: SparkSession, sf_dir: str, request: search.Request, relevance: str = "inverse") -> DataFrame:
-    found = search.dense_search(tables.dense(spark, sf_dir), _probe(spark, sf_dir), request, relevance, content=False)
+    # Repeated rows agree, so the filter comes before their removal, and only vectors are carried.
+    rows = search.filtered(tables.table(spark, sf_dir, "dense").filter("id IS NOT NULL"), request)
+    found = search.dense_search(latest(rows, ["id"], ["vector"]), _probe(spark, sf_dir), search.Request(page=request.page), relevance, content=False)
     return found.select("id", F.round("relevance", 6).alias("relevance"))
 
 
@@ -189,7 +191,7 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM s) SELECT query_id, id, round(score / top, 6) AS relevance FROM m"""
 )
 def rrf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = ranking.reciprocal_rank_fusion(tables.ranked(spark, sf_dir), 60, by=["query_id"])
+    merged = ranking.reciprocal_rank_fusion(tables.ranked(spark, sf_dir, "rank"), 60, by=["query_id"])
     return merged.select("query_id", "id", F.round("relevance", 6).alias("relevance"))
 
 
@@ -226,7 +228,7 @@ def rrf_two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.col(c) for c in ("query_id", "list_no", "rank")]
-    return search.deduplicated(tables.ranked(spark, sf_dir), order).select("id", "query_id", "list_no", "rank")
+    return search.deduplicated(tables.ranked(spark, sf_dir, "rank"), order).select("id", "query_id", "list_no", "rank")
 
 
 @query(
@@ -241,7 +243,7 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = [(k, len(terms & set(re.findall(r"[^\W_]+", t.lower()))) / len(terms)) for k, t in enumerate(texts)]
         return found[::-1]  # any order will do: results are put back by index
 
-    docs = tables.documents(spark, sf_dir).filter("content IS NOT NULL")
+    docs = tables.documents(spark, sf_dir, "content").filter("content IS NOT NULL")
     return ranking.reranked(docs, _BM25, score).select("id", F.round("relevance", 6).alias("relevance"))
 
 
@@ -250,22 +252,22 @@ _IDS = [f"doc-{n:09d}" for n in (3, 25, 45, 3, 121, 999999999, 136)]
 
 @query(f"WITH {_DOCS}, want AS (SELECT unnest({_IDS}) AS id, unnest(range({len(_IDS)})) AS position) SELECT position, docs.id, content FROM want JOIN docs ON docs.id = want.id")
 def find_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stores.find_by_ids(tables.documents(spark, sf_dir), _IDS).select("position", "id", "content")
+    return stores.find_by_ids(tables.documents(spark, sf_dir, "content"), _IDS).select("position", "id", "content")
 
 
 @query(f"WITH {_DOCS} SELECT id FROM docs WHERE id NOT IN {tuple(sorted(set(_IDS)))}")
 def delete_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stores.delete_by_ids(tables.documents(spark, sf_dir).select("id"), _IDS).survivors.select("id")
+    return stores.delete_by_ids(tables.table(spark, sf_dir, "docstore").filter("id IS NOT NULL").select("id").distinct(), _IDS).survivors.select("id")
 
 
 @query(f"WITH {_DOCS} SELECT id FROM docs WHERE NOT coalesce(attributes.age > 300, false)")
 def delete_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stores.delete_by_filter(tables.documents(spark, sf_dir), P.normalise(P.greater(_AGE, 300))).survivors.select("id")
+    return stores.delete_by_filter(tables.documents(spark, sf_dir, "attributes"), P.normalise(P.greater(_AGE, 300))).survivors.select("id")
 
 
 @query(f"WITH {_DOCS} SELECT count(*) AS deleted FROM docs WHERE attributes.tenant = 'goringatt'")
 def delete_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    removed = stores.delete_by_filter(tables.documents(spark, sf_dir), P.normalise(P.equal(_TENANT, "goringatt"))).removed
+    removed = stores.delete_by_filter(tables.documents(spark, sf_dir, "attributes"), P.normalise(P.equal(_TENANT, "goringatt"))).removed
     return removed.agg(F.countDistinct("id").alias("deleted"))
 
 
@@ -274,7 +276,7 @@ def delete_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new"""
 )
 def upsert_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.dense(spark, sf_dir).select("id", "content")
+    rows = tables.dense(spark, sf_dir, "content")
     return tables.upserted(rows.filter("id < 'vec-000000400'"), rows.filter("id >= 'vec-000000200'").withColumn("content", F.concat("content", F.lit(" (new)"))))
 
 
@@ -284,7 +286,7 @@ _SENTENCES = f"list_filter(list_transform(regexp_extract_all(content, '[^.!?。
 
 @query(f"WITH {_DOCS}, s AS (SELECT id, {_SENTENCES} AS parts FROM docs WHERE {_SOLID}) SELECT id AS source_id, generate_subscripts(parts, 1) - 1 AS index, unnest(parts) AS content FROM s")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_sentences(tables.documents(spark, sf_dir)).select("source_id", F.col("index").cast("long").alias("index"), "content")
+    return chunking.chunk_sentences(tables.documents(spark, sf_dir, "content", "attributes")).select("source_id", F.col("index").cast("long").alias("index"), "content")
 
 
 @query(
@@ -331,7 +333,7 @@ def semantic_groups_min1(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM cs JOIN f ON cs.source_id = f.id"""
 )
 def chunk_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chunking.with_context(tables.chunks(spark, sf_dir), tables.documents(spark, sf_dir), chunking.opening)
+    out = chunking.with_context(tables.chunks(spark, sf_dir), tables.documents(spark, sf_dir, "content"), chunking.opening)
     return out.select("id", "source_id", "index", "content", "context")
 
 
@@ -431,18 +433,18 @@ def multimodal_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.struct(F.lit("text").alias("kind"), F.lit(None).cast("string").alias("mime"), F.col("content").alias("text"), F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("string").alias("url"))
     link = F.struct(F.lit("url").alias("kind"), F.lit(None).cast("string").alias("mime"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("bytes"), F.concat(F.lit("https://example.org/"), "id").alias("url"))
     parts = F.array(text.cast(PART_TYPE), link.cast(PART_TYPE))
-    return tables.documents(spark, sf_dir).select("id", valid_input(parts).alias("valid"))
+    return tables.documents(spark, sf_dir, "content").select("id", valid_input(parts).alias("valid"))
 
 
 @query(f"WITH {_DOCS} SELECT id, CASE WHEN content IS NULL THEN NULL ELSE 64 END AS dim FROM docs")
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = embedded(tables.documents(spark, sf_dir).select("id", "content"), hashed_embedder())
+    docs = embedded(tables.documents(spark, sf_dir, "content"), hashed_embedder())
     return docs.select("id", F.when(F.col("content").isNotNull(), F.size("vector")).alias("dim"))
 
 
 @query(f"WITH {_DOCS} SELECT id, {_TRIM.format('content')} AS content FROM docs")
 def trim_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.documents(spark, sf_dir).select("id", trimmed(F.col("content")).alias("content"))
+    return tables.documents(spark, sf_dir, "content").select("id", trimmed(F.col("content")).alias("content"))
 
 
 @query("SELECT query_id, list_no, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, list_no, id ORDER BY ingested_at DESC) AS k FROM ranked) WHERE k = 1")

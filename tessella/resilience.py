@@ -11,6 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from tessella.errors import InvalidArgument, Unavailable
+from tessella.runtime import stored
 
 
 def retrying(call: Callable, attempts: int = 5, pause: float = 0.01, sleep: Callable[[float], None] = time.sleep) -> Callable:
@@ -37,7 +38,7 @@ def with_fallback(first: Callable[..., DataFrame], second: Callable[..., DataFra
     @wraps(first)
     def run(*args, **kwargs) -> DataFrame:
         try:
-            return first(*args, **kwargs).checkpoint()
+            return stored(first(*args, **kwargs))
         except (Unavailable, PySparkException) as e:
             if isinstance(e, PySparkException) and "Unavailable" not in str(e):
                 raise

@@ -21,21 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, content, attributes, relevance); repeated rows are one record."""
-    return latest(table(spark, sf_dir, "docstore"), ["id"], ["content", "attributes", "relevance"])
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """(id, content, attributes, relevance), or the id and some of them only; repeated rows are one record."""
+    return latest(table(spark, sf_dir, "docstore").filter("id IS NOT NULL"), ["id"], list(columns or ("content", "attributes", "relevance")))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(table(spark, sf_dir, "chunks"), ["id"], ["source_id", "index", "content", "context", "attributes"])
+def chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return latest(table(spark, sf_dir, "chunks").filter("id IS NOT NULL"), ["id"], list(columns or ("source_id", "index", "content", "context", "attributes")))
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(table(spark, sf_dir, "dense"), ["id"], ["content", "attributes", "vector"])
+def dense(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return latest(table(spark, sf_dir, "dense").filter("id IS NOT NULL"), ["id"], list(columns or ("content", "attributes", "vector")))
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(table(spark, sf_dir, "ranked"), ["query_id", "list_no", "id"], ["rank", "content", "attributes", "relevance"])
+def ranked(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return latest(table(spark, sf_dir, "ranked"), ["query_id", "list_no", "id"], list(columns or ("rank", "content", "attributes", "relevance")))
 
 
 def decoded_attributes(raw: Column, schema: Schema) -> Column:
