@@ -40,6 +40,8 @@ BLOCK, BINS, ROUNDS = 6, 72, 5
 BLOCKS = BINS // BLOCK * ROUNDS
 #: Block entries that one task joins.
 ENTRIES = 1_500_000
+#: Ids of linked texts up to which they are sent to every task, to leave unlinked texts where they are; more are joined by a shuffle.
+BROADCAST_IDS = 100_000
 _LOW40 = np.uint64((1 << 40) - 1)
 #: Steps a factor e of a set's size has in a class's short code, whose upper ten bits they are; the rest is its hash.
 _STEPS, _HASH_BITS = 32, 30
@@ -248,7 +250,9 @@ def _texts_of(docs: DataFrame, members: DataFrame, near: DataFrame, whole_classe
         linked = near.select(F.col("class_a").alias("class")).unionAll(near.select(F.col("class_b").alias("class")))
         several = members.groupBy("class").agg(F.countDistinct("id").alias("n")).filter("n > 1").select("class")
         reps = members.select("id", "class").join(linked.unionAll(several).distinct(), "class", "left_semi").select("id").distinct()
-    return docs.select("id", "content").join(reps, "id", "left_semi").groupBy("id").agg(F.max("content").alias("content"))
+    reps = stored(reps)
+    wanted = F.broadcast(reps) if reps.count() <= BROADCAST_IDS else reps
+    return docs.select("id", "content").join(wanted, "id", "left_semi").groupBy("id").agg(F.max("content").alias("content"))
 
 
 def verified(near: DataFrame, texts: DataFrame) -> DataFrame:
