@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from tessella.errors import InvalidArgument, InvalidPage
 from tessella.schema import IDENTIFIER, Schema
 
-#: What Unicode calls white space, as a pattern class of Java; fixed values.
-SPACE_CLASS = r"[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Unicode white space, without the separators U+001C to U+001F that Python also strips.
+SPACE = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def document_type(schema: Schema) -> T.StructType:
@@ -59,7 +59,7 @@ def logistic(score: Column, cut: float = 20.0) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Text without surrounding Unicode white space; Spark's trim takes off plain spaces only."""
-    return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def blank(text: Column) -> Column:

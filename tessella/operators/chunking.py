@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 from tessella.errors import InvalidArgument, ProtocolError
 from tessella.functions.vectors import cosine
-from tessella.model import blank, guarded, some_id, trimmed
+from tessella.model import SPACE, blank, guarded, some_id, trimmed
 
-# Unicode white space, without the separators U+001C to U+001F that Python also strips.
-SPACE = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 SEPARATORS = ("\n\n", "\n", " ")
 MARKS = ".!?。！？"
 
@@ -60,7 +58,9 @@ def sentences(text: Column) -> Column:
 
 
 def chunk_fixed(docs: DataFrame, sizes: Sizes) -> DataFrame:
-    return as_chunks(sources(docs).select("id", "attributes", fixed_windows(trimmed(F.col("content")), sizes).alias("parts")))
+    # A projection of its own: inside the windows' lambda the text would be trimmed once for each window.
+    texts = sources(docs).select("id", "attributes", trimmed(F.col("content")).alias("_text"))
+    return as_chunks(texts.select("id", "attributes", fixed_windows(F.col("_text"), sizes).alias("parts")))
 
 
 def chunk_sentences(docs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from tessella.errors import EmptyText, EmptyVector, InvalidArgument
 from tessella.functions.vectors import cosines, matrix, maxsim
 from tessella.model import Page, logistic, paged
 from tessella.predicate import bind, compiled, is_empty
+from tessella.runtime import stored
 from tessella.schema import STANDARD, Schema
 
 #: Digits that decide the order of distances; beyond them, order of summation would.
@@ -164,10 +165,15 @@ def bm25(docs: DataFrame, text: str, fields: Sequence[str] = ("content",), reque
     if not terms:
         raise EmptyText("query text has no words")
     request.bound()
-    counted = docs
-    for n, f in enumerate(fields):
-        words = tokenised(F.coalesce(F.col(f), F.lit("")))
-        counted = counted.withColumn(f"_len{n}", F.size(words)).withColumn(f"_tf{n}", F.transform(F.array(*[F.lit(t) for t in terms]), _counter(words)))
+    # Words in a projection of their own: inside the counting lambda they would be cut out once for each term.
+    words = docs.select("*", *[tokenised(F.coalesce(F.col(f), F.lit(""))).alias(f"_w{n}") for n, f in enumerate(fields)])
+    wanted = F.array(*[F.lit(t) for t in terms])
+    # Counted once, for the statistics and the scores: a few numbers a document.
+    counted = stored(words.select(
+        *[c for c in docs.columns if c not in fields or c in ("id", request.schema.root)],
+        *[F.size(f"_w{n}").alias(f"_len{n}") for n in range(len(fields))],
+        *[F.transform(wanted, _counter(F.col(f"_w{n}"))).alias(f"_tf{n}") for n in range(len(fields))],
+    ))
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(f"_len{n}").alias(f"avg{n}") for n in range(len(fields))],
