@@ -41,11 +41,14 @@ def local_rows(spark: SparkSession, **columns: list) -> DataFrame:
 
 
 def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessella-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    # Results may be read as long as the application runs; after that, nothing needs the folder.
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
