@@ -39,6 +39,9 @@ _STRONG = "!?！？。｡؟।॥‽⁇⁈⁉;"
 _STOPS = ".．…" + _STRONG
 _MARK = re.compile("[" + re.escape("".join(_PAIRS) + _STOPS + ";") + "]")
 _RUN = re.compile(f"[{re.escape(_STOPS)}]+(?:[{WS}]*[!?！？]+)*")
+_INNER_STOPS = tuple(_STOPS)
+_INNER = frozenset(WS + _STOPS + _CLOSERS + _OPENERS + ";")  # behind one of these the word before a period may begin
+_CLOSED = re.compile(f"[{re.escape(_CLOSERS)}{WS}]*")
 _STRIP = "".join(dict.fromkeys(_CLOSERS + _OPENERS + _STOPS + ",;:،؛，；：、"))
 _NUMBER = re.compile(r"[+\-−]?\d[\d.,:/]*$")
 _FILE = re.compile(r"(?=.*[_\d/\\-])[\w/\\-]+\.\w{1,8}$|\w+_\w+$")
@@ -403,28 +406,31 @@ class _Asked(set):
         return self.answer
 
 
-def _keys_of(text: str) -> list[str]:
-    """Every key that classifying a text may ask for."""
+def _keys_of(text: str, longest: int) -> list[str]:
+    """Every key of at most ``longest`` characters that classifying a text may ask for.
+
+    A sentence may begin within a word, behind any mark that ends or closes one, so each such rest of the word before a period is asked for.
+    """
     keys: set[str] = set()
     lang = "en"
     for a, b in blocks(text):
         block = text[a:b]
         lang = language(block, lang)
-        words = [m.group() for m in _WORD.finditer(block)]
         for m in re.finditer(r"[.．…]", block):
-            left, right = m.start(), m.end()
-            while left > 0 and block[left - 1] not in WS:
-                left -= 1
-            word = block[left : m.start()].lstrip(_OPENERS)
-            kind = "##number" if _NUMBER.match(word) else word.lower()
+            k, right = m.start(), m.end()
+            closed = _WORD.search(block, _CLOSED.match(block, right).end())
             nxt = _WORD.search(block, right)
-            rest = nxt.group() if nxt else ""
-            closed = _WORD.search(block, right + len(block[right:]) - len(block[right:].lstrip(_CLOSERS + WS)))
-            keys |= {f"{lang}|A|{word.lower()}", f"{lang}|A|{kind}", f"{lang}|E|{kind}"}
-            for r in {rest, rest.lstrip(_OPENERS), closed.group() if closed else ""}:
-                keys |= {f"{lang}|S|{token_type(r)}", f"{lang}|C|{kind}|{token_type(r)}"}
-        del words
-    return sorted(keys)
+            follows = {token_type(nxt.group()) if nxt else "", token_type(closed.group()) if closed else ""}
+            keys |= {f"{lang}|S|{f}" for f in follows}
+            kinds, left = {"##number"}, k
+            # Of several marks none is asked for; a word longer than any key isn't in the model, and lower case never shortens it.
+            while block[right : right + 1] not in _INNER_STOPS and left > 0 and block[left - 1] not in WS and k - left < longest:
+                left -= 1
+                if block[left] not in _OPENERS and (left == 0 or block[left - 1] in _INNER):
+                    kinds.add(block[left:k].lower())
+            for kind in kinds:
+                keys |= {f"{lang}|A|{kind}", f"{lang}|E|{kind}"} | {f"{lang}|C|{kind}|{f}" for f in follows}
+    return sorted(key for key in keys if len(key) <= longest)
 
 
 def with_model(docs: DataFrame, model: DataFrame, apply: Callable, schema: str, limit: int = MODEL_ROWS) -> DataFrame:
@@ -444,9 +450,11 @@ def with_model(docs: DataFrame, model: DataFrame, apply: Callable, schema: str,
 
         return docs.select("id", "content").mapInPandas(run, schema)
 
+    longest = model.agg(F.max(F.length("key"))).first()[0] or 0
+
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(i, k) for i, t in zip(pdf["id"], strings(pdf["content"])) if t for k in _keys_of(t)], columns=["id", "key"])
+            yield pd.DataFrame([(i, k) for i, t in zip(pdf["id"], strings(pdf["content"])) if t for k in _keys_of(t, longest)], columns=["id", "key"])
 
     known = docs.select("id", "content").mapInPandas(asked, "id string, key string").join(model, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
 

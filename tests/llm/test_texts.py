@@ -82,6 +82,25 @@ def test_model_is_learned_and_joined(spark):
     assert sentences.sentences(docs.limit(0)).count() == 0
 
 
+def test_glued_sentences_are_the_same_with_a_joined_model(spark):
+    glued = ["He has left.Dr. Smith stayed.", "It went on!Dr. Smith stayed. So it is.", "(See the list.)Dr. Smith stayed.", "It counts 5.“Dr. Smith” stayed.The end."]
+    docs = spark.createDataFrame([(f"d{n}", t) for n, t in enumerate(_corpus())] + [(f"g{n}", t) for n, t in enumerate(glued)], ROWS)
+    sent = sorted(map(tuple, sentences.sentences(docs).collect()))
+    assert sent == sorted(map(tuple, sentences.sentences(docs, limit=0).collect()))
+    assert [(a, b) for i, a, b in sent if i == "g0"] == [(0, 12), (12, 29)]
+
+
+@given(st.lists(st.sampled_from(["Dr", "a", "St", "5", "1.5", "the", "Γ", ".", ".", "!", "…", ";", " ", " ", '"', "“", "”", "(", ")", "'", "»", "\xa0", "\n\n", ","]), max_size=24), st.integers(0, 3))
+@settings(max_examples=1500, deadline=None)
+def test_every_key_that_is_asked_is_looked_up(parts, salt):
+    text = "".join(parts)
+    # A model's keys have no empty part, and numbers stand in it as one class.
+    can_be = lambda k: all(k.split("|")[2:]) and not (k.split("|")[1] in "AE" and sentences._NUMBER.match(k.split("|")[2]))
+    has = lambda k: can_be(k) and len(k) <= 20 and hash((k, salt)) % 2 == 0
+    known = set(sentences._keys_of(text, 20))
+    assert sentences.sentence_spans(text, has) == sentences.sentence_spans(text, lambda k: k in known and has(k))
+
+
 def _greedy(text, ends, limit, overlap):
     """The rule, one cut after another."""
     s, e = len(text) - len(text.lstrip(WS)), len(text.rstrip(WS))
