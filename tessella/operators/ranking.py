@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.errors import EmptyText, InvalidArgument, ProtocolError
 from tessella.model import clamped
+from tessella.runtime import stored
 
 
 def tagged(lists: Sequence[DataFrame], rank: str = "rank") -> DataFrame | None:
@@ -21,6 +22,21 @@ def tagged(lists: Sequence[DataFrame], rank: str = "rank") -> DataFrame | None:
     return out
 
 
+def placed(df: DataFrame, *order: Column) -> DataFrame:
+    """All rows with their ``rank`` from 0 in ``order``, which must leave no ties: a distributed sort, and the number of rows before each of its partitions."""
+    # The id holds the partition in its upper bits and the row within it in the lower 33.
+    rows = stored(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).cast("int")
+    before, sizes = {}, rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total = 0
+    for r in sorted(sizes, key=lambda r: r["part"]):
+        before[r["part"]] = total - (r["part"] << 33)
+        total += r["n"]
+    # One entry per partition of the sort, never more.
+    shift = F.create_map(*[x for k, n in before.items() for x in (F.lit(k), F.lit(n).cast("long"))])[part] if before else F.lit(0)
+    return rows.withColumn("rank", (F.col("_at") + shift).cast("long")).drop("_at")
+
+
 def reciprocal_rank_fusion(ranked: DataFrame, k: float, by: Sequence[str] = (), payload: Sequence[str] = (), check_payload: bool = False) -> DataFrame:
     """(*by, id, *payload, score, relevance, and with ``by`` position), ordered by relevance without: lists (list_no, rank from 0, id) merged per ``by``.
 

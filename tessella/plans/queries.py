@@ -223,6 +223,22 @@ def rrf_two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("id", F.round("relevance", 6).alias("relevance"))
 
 
+@query(
+    f"""WITH {_DOCS}, l AS (SELECT id, row_number() OVER (ORDER BY relevance DESC, id) - 1 AS rank FROM docs WHERE relevance IS NOT NULL
+    UNION ALL SELECT id, row_number() OVER (ORDER BY attributes.score DESC, id) - 1 FROM docs WHERE attributes.score IS NOT NULL),
+    s AS (SELECT id, sum(1.0 / (60 + rank + 1)) AS score FROM l GROUP BY id) SELECT id, round(score / (SELECT max(score) FROM s), 6) AS relevance FROM s"""
+)
+def rrf_two_whole_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # rrf_two_lists without its depth: every scored document of both lists takes part.
+    docs = tables.documents(spark, sf_dir, "relevance", "attributes")
+
+    def ranks(score: str) -> DataFrame:
+        return ranking.placed(docs.filter(F.col(score).isNotNull()).select("id", F.col(score).alias("s")), F.desc("s"), F.col("id")).select("id", "rank")
+
+    merged = ranking.reciprocal_rank_fusion(ranking.tagged([ranks("relevance"), ranks("attributes.score")]), 60)
+    return merged.select("id", F.round("relevance", 6).alias("relevance"))
+
+
 @query(
     f"""WITH {_LISTS}, p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query_id, list_no, rank) AS k FROM ls) SELECT id, query_id, list_no, rank FROM p WHERE k = 1"""
 )

@@ -176,6 +176,24 @@ def test_rank_fusion(spark):
     assert same[0].content == "x"
 
 
+def test_whole_lists_are_ranked_and_fused(spark):
+    df = spark.range(0, 5000, 1, 7).select(F.format_string("d%05d", "id").alias("id"), (F.col("id") * 37 % 500).alias("s"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables are sorted in several tasks too
+    try:
+        placed = R.placed(df, F.desc("s"), F.col("id"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(placed.inputFiles()) > 1
+    rows = {r.id: r["rank"] for r in placed.collect()}
+    want = sorted(df.collect(), key=lambda r: (-r.s, r.id))
+    assert rows == {r.id: n for n, r in enumerate(want)}
+    assert R.placed(df.limit(0), F.desc("s"), F.col("id")).count() == 0
+    other = R.placed(df, F.asc("s"), F.col("id"))
+    fused = R.reciprocal_rank_fusion(R.tagged([placed.select("id", "rank"), other.select("id", "rank")]), 60)
+    back = {r.id: n for n, r in enumerate(sorted(want, key=lambda r: (r.s, r.id)))}
+    assert {r.id: round(r.score, 12) for r in fused.collect()} == {i: round(1 / (61 + n) + 1 / (61 + back[i]), 12) for i, n in rows.items()}
+
+
 def test_rerank(spark):
     df = docs(spark, [("a", "one", None), ("b", "two", None)]).coalesce(1)
     got = R.reranked(df, "q", lambda q, t: [(1, 0.9), (0, 0.1)]).collect()
