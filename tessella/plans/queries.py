@@ -296,6 +296,18 @@ def upsert_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.upserted(rows.filter("id < 'vec-000000400'"), rows.filter("id >= 'vec-000000200'").withColumn("content", F.concat("content", F.lit(" (new)"))))
 
 
+@query(
+    f"""WITH {_DENSE}, new AS (SELECT id, content || ' (new)' AS content FROM ds WHERE attributes.active UNION ALL SELECT 'new-' || id, content FROM ds WHERE attributes.active)
+    SELECT id, content FROM ds WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new"""
+)
+def upsert_dense_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The whole table is there before; the batch is a share of it with new contents, and as many new ids.
+    rows = tables.dense(spark, sf_dir, "content", "attributes")
+    chosen = rows.filter("attributes.active").select("id", "content")
+    batch = chosen.withColumn("content", F.concat("content", F.lit(" (new)"))).unionByName(chosen.withColumn("id", F.concat(F.lit("new-"), "id")))
+    return tables.upserted(rows.select("id", "content"), batch)
+
+
 _SOLID = f"{_TRIM.format('content')} <> ''"
 _SENTENCES = f"list_filter(list_transform(regexp_extract_all(content, '[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$'), lambda x: {_TRIM.format('x')}), lambda x: x <> '')"
 
