@@ -215,8 +215,13 @@ def with_context(chunks: DataFrame, docs: DataFrame, context: Callable[[Column,
     return joined.withColumn("context", context(F.col("_source"), F.col("content"))).drop("_source").select(*chunks.columns)
 
 
+def first_line(source: Column, content: Column) -> Column:
+    """A context that needs no model: the source's first line, whole."""
+    return trimmed(F.regexp_extract(trimmed(source), r"^[^\n\r]*", 0))
+
+
 def opening(source: Column, content: Column) -> Column:
-    """A context that needs no model: the source's first line."""
-    return F.substring(trimmed(F.regexp_extract(trimmed(source), r"^[^\n\r]*", 0)), 1, 80)
+    """The first 80 code points of the source's first line."""
+    return F.substring(first_line(source, content), 1, 80)
 
 

@@ -365,6 +365,16 @@ def chunk_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "source_id", "index", "content", "context")
 
 
+@query(
+    f"""WITH {_DOCS}, {_CHUNKS}, f AS (SELECT id, content FROM docs) SELECT cs.id, cs.source_id, cs.index, cs.content, {_TRIM.format("regexp_extract(" + _TRIM.format('f.content') + ", '^[^\\n\\r]*')")} AS context
+    FROM cs JOIN f ON cs.source_id = f.id"""
+)
+def chunk_contextual_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # chunk_contextual with the whole first line.
+    out = chunking.with_context(tables.chunks(spark, sf_dir), tables.documents(spark, sf_dir, "content"), chunking.first_line)
+    return out.select("id", "source_id", "index", "content", "context")
+
+
 def _customers(spark: SparkSession, sf_dir: str) -> graphs.Graph:
     """region ← nation ← customer and supplier as a graph of attributed nodes and typed edges."""
     t = lambda name: tables.table(spark, sf_dir, name)

@@ -176,6 +176,13 @@ def test_rank_fusion(spark):
     assert same[0].content == "x"
 
 
+def test_first_lines_are_whole(spark):
+    line = "word " * 60
+    df = spark.createDataFrame([(f"\n {line}\nrest",), (None,)], "content string")
+    got = [r[0] for r in df.select(C.first_line(F.col("content"), F.col("content"))).collect()]
+    assert got == [line.strip(), None]
+
+
 def test_whole_lists_are_ranked_and_fused(spark):
     df = spark.range(0, 5000, 1, 7).select(F.format_string("d%05d", "id").alias("id"), (F.col("id") * 37 % 500).alias("s"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables are sorted in several tasks too
