@@ -8,6 +8,9 @@ hash are verified against the smallest id by comparing both streams, skipping as
 Marks between two digits and a sign directly before a number count. Format characters, marks and
 everything else that isn't white space, punctuation or a symbol count as they are.
 
+A list of named fields has at least MIN_FIELDS fields; in loose notations their names have at most 61
+characters and four words and differ. JSON with nested values and shorter lists are prose, order counts.
+
 Defined results: null and blank contents take no part; contents of nothing but punctuation are copies
 of each other; a repeated id is one record; ties can't occur, the smallest id is kept; hash collisions
 are told apart; an empty table gives an empty result; other columns are ignored.
