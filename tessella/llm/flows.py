@@ -7,8 +7,16 @@ in sorted order. The sort is by (query, list, score, id), whose keys are all dif
 list of any size spreads over many tasks; what a run of equal scores or a list has in other tasks is
 carried over by one summary row per task.
 
+The leading places are decided by the same preferences one level up: an item outranks another that it is
+preferred to in more than half of the (weighted) lists scoring both, and its majority flow is the share of
+items it outranks less the share outranking it. Leaders, which fail to outrank fewer than ``places`` others,
+have a greater majority flow than all other items and come first, in its order; the rest follow by net flow
+over percentiles. Majority flows need pairs, but only of items that can lead: among TOGETHER items at most
+2·places - 1 fail so rarely, so a knock-out in blocks leaves few of any number, and these alone are compared
+with all items of their query.
+
 Defined results: items without a score in a list (null or NaN) take no part in that list, and items
-without any score aren't ranked; equal scores are no preference; repeated rows are one; equal flows are
+without any score aren't ranked; equal scores are no preference; items that no list compares don't outrank each other; repeated rows are one; equal flows are
 ordered by the sum of percentiles, then by id; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -19,10 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.runtime import latest, skew_join, stored
+from tessella.operators.ranking import placed
+from tessella.runtime import HOT_SALTS, hot_keys, latest, skew_join, stored
 
 #: Rows that one task sorts.
 ROWS = 400_000
+#: Items of a query that are compared with each other at once.
+TOGETHER = 64
 _KEYS = ["query_id", "list_no", "relevance"]
 
 
@@ -101,85 +112,99 @@ def list_flows(scores: DataFrame) -> DataFrame:
     return ranged.groupBy("part").applyInPandas(_flows(carried), "query_id long, list_no long, id string, flow double, percentile double")
 
 
-def combined(scores: DataFrame, weights: dict[int, float] | None = None) -> DataFrame:
-    """(query_id, id, flow, standing) of every item: its weighted mean net flow and mean percentile over the lists that score it."""
+def weighed(marks: DataFrame, weights: dict[int, float] | None = None) -> DataFrame:
+    """``marks`` with the weight ``w`` of their lists, 1 where none is told."""
     weight = F.lit(1.0)
     for list_no, w in (weights or {}).items():
         weight = F.when(F.col("list_no") == list_no, F.lit(float(w))).otherwise(weight)
-    flows = list_flows(scores).withColumn("w", weight)
+    return marks.withColumn("w", weight)
+
+
+def combined(marks: DataFrame) -> DataFrame:
+    """(query_id, id, flow, standing) of every item: its weighted mean net flow and mean percentile over the lists that score it."""
     total = F.sum("w")
     # Rounded, so that the order of summation can't decide between equal flows.
-    return flows.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("flow")) / total, 12).alias("flow"), F.round(F.sum(F.col("w") * F.col("percentile")) / total, 12).alias("standing"))
+    return marks.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("flow")) / total, 12).alias("flow"), F.round(F.sum(F.col("w") * F.col("percentile")) / total, 12).alias("standing"))
+
 
+def _compared(some: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, id, above, below): how many of ``others`` with the same keys each item of ``some`` outranks, and how many outrank it.
 
-def ranking(scores: DataFrame, first: int | None = None, weights: dict[int, float] | None = None) -> DataFrame:
-    """(query_id, id, flow, position): each query's ranking, or its first places only."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("flow"), F.desc("standing"), "id")
-    ranked = combined(scores, weights).withColumn("position", F.row_number().over(order))
-    return (ranked if first is None else ranked.filter(F.col("position") <= first)).select("query_id", "id", "flow", "position")
+    Both sides meet by the keys alone, so that counting by pair needs no further shuffle; a pair never leaves its task.
+    """
+    left = some.select(*keys, "id", "list_no", "percentile")
+    right = others.select(*keys, F.col("id").alias("_id"), F.col("list_no").alias("_list"), F.col("percentile").alias("_percentile"), "w").hint("merge")
+    met = left.join(right, keys).filter((F.col("list_no") - F.col("_list") == 0) & (F.col("id") != F.col("_id")))
+    won, lost, all_of = (F.sum(F.when(c, F.col("w")).otherwise(0.0)) for c in (F.col("percentile") > F.col("_percentile"), F.col("percentile") < F.col("_percentile"), F.lit(True)))
+    pairs = met.groupBy(*keys, "id", "_id").agg((2 * won > all_of).cast("int").alias("above"), (2 * lost > all_of).cast("int").alias("below"))
+    return pairs.groupBy(*keys, "id").agg(F.sum("above").alias("above"), F.sum("below").alias("below")).groupBy("query_id", "id").agg(F.sum("above").alias("above"), F.sum("below").alias("below"))
 
 
-def scores_of(ranked: DataFrame) -> DataFrame:
-    """The scores of a table of ranked lists; repeated rows are one record."""
-    return latest(ranked, ["query_id", "list_no", "id"], ["relevance"])
+def _items(marks: DataFrame, *keys: str) -> DataFrame:
+    """How many items there are by the keys."""
+    return marks.select(*keys, "id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("items"))
+
+
+def leaders(marks: DataFrame, places: int = 3) -> DataFrame:
+    """(query_id, id, majority) of all items that fail to outrank fewer than ``places`` others of their query, with their majority flow."""
+    sizes = of_all = stored(_items(marks, "query_id"))
+    hot = hot_of_all = hot_keys(marks, "query_id")
+    alive, level = marks, 0
+    together = max(TOGETHER, 8 * places)  # of each block at most 2·places - 1 stay, so every round leaves less than a third
+    while (sizes.agg(F.max("items")).first()[0] or 0) > together:
+        level += 1
+        parted = skew_join(alive, sizes, "query_id", F.col("id"), hot=hot)
+        small, large = parted.filter(F.col("items") <= together).drop("items"), parted.filter(F.col("items") > together)
+        large = stored(large.withColumn("block", F.pmod(F.xxhash64("id", F.lit(level)), F.ceil(F.col("items") / together))).drop("items"))
+        held = large.select("query_id", "block", "id").distinct()
+        blocks = held.groupBy("query_id", "block").agg(F.count(F.lit(1)).alias("items"))
+        beaten = held.join(blocks, ["query_id", "block"]).join(_compared(large, large, ["query_id", "block"]), ["query_id", "id"], "left")
+        kept = beaten.filter(F.col("items") - 1 - F.coalesce("above", F.lit(0)) < places).select("query_id", "id")
+        alive = stored(small.unionByName(large.drop("block").join(kept, ["query_id", "id"], "left_semi")))
+        sizes, hot = stored(_items(alive, "query_id")), hot_keys(alive, "query_id")
+    salted = _salted(hot_of_all)
+    compared = _compared(salted(alive, True), salted(marks, False), ["query_id", "salt"])
+    of_query = skew_join(alive.select("query_id", "id").distinct(), of_all, "query_id", F.col("id"), hot=[])
+    counted = of_query.join(compared, ["query_id", "id"], "left").fillna(0, ["above", "below"])
+    leading = counted.filter(F.col("items") - 1 - F.col("above") < places)
+    return leading.select("query_id", "id", ((F.col("above") - F.col("below")) / F.greatest(F.col("items") - 1, F.lit(1))).alias("majority"))
 
 
-#: Candidates a query whose first places aren't proven yet is checked with first; four times as many each further time.
-CANDIDATES = 16
+def _salted(hot: list):
+    """Items of hot queries are spread over HOT_SALTS tasks; those compared with them go to each of these."""
+    is_hot = F.col("query_id").isin(hot) if hot else F.lit(False)
 
+    def spread(df: DataFrame, everywhere: bool) -> DataFrame:
+        if everywhere:
+            return df.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        return df.withColumn("salt", F.when(is_hot, F.pmod(F.hash("id"), F.lit(HOT_SALTS))).otherwise(F.lit(0)))
 
-def _unbeaten(batches):
-    """For each candidate of a query: the documents it does not beat in more than half of the lists that score both."""
-    for pdf in batches:
-        out: dict[tuple[int, str], int] = {}
-        for q, key, own, candidates in zip(pdf["query_id"], pdf["id"], pdf["scores"], pdf["candidates"]):
-            mine = {r["list_no"]: r["relevance"] for r in own}
-            for c in candidates:
-                if c["id"] == key:
-                    continue
-                common = wins = 0
-                for r in c["scores"]:
-                    x = mine.get(r["list_no"])
-                    if x is not None:
-                        common += 1
-                        wins += r["relevance"] > x
-                if 2 * wins <= common:
-                    out[q, c["id"]] = out.get((q, c["id"]), 0) + 1
-        yield pd.DataFrame([(q, c, n) for (q, c), n in out.items()], columns=["query_id", "id", "unbeaten"])
+    return spread
+
+
+def _judged(scores: DataFrame, weights: dict[int, float] | None, places: int) -> DataFrame:
+    """(query_id, id, flow, standing, majority) of every item; only leaders have a majority."""
+    marks = weighed(stored(list_flows(scores)), weights)
+    return combined(marks).join(leaders(marks, places), ["query_id", "id"], "left")
+
+
+_ORDER = (F.desc_nulls_last, "majority"), (F.desc, "flow"), (F.desc, "standing"), (F.asc, "id")
+
+
+def ranking(scores: DataFrame, weights: dict[int, float] | None = None, places: int = 3) -> DataFrame:
+    """(query_id, id, flow, position from 1): each query's whole ranking, numbered by one distributed sort over all queries."""
+    rows = placed(stored(_judged(scores, weights, places)), F.asc("query_id"), *[way(c) for way, c in _ORDER])
+    first = rows.groupBy("query_id").agg(F.min("rank").alias("_first"))
+    numbered = skew_join(rows, first, "query_id", F.col("id"))
+    return numbered.select("query_id", "id", "flow", (F.col("rank") - F.col("_first") + 1).cast("int").alias("position"))
 
 
 def first_places(scores: DataFrame, places: int = 3, weights: dict[int, float] | None = None) -> DataFrame:
-    """(query_id, id, position): the first places of each query's ranking by net flow, after an exact check.
+    """(query_id, id, position from 1): the first places of the same ranking. Each task passes on that many rows of a query only."""
+    order = Window.partitionBy("query_id").orderBy(*[way(c) for way, c in _ORDER])
+    return _judged(scores, weights, places).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= places).select("query_id", "id", "position")
 
-    Net flow adds up margins, so a document far down in a few lists can fall behind one that it beats in most.
-    Documents that beat all but ``places - 1`` others in more than half of their common lists go first. Only
-    documents of high flow can do so, so each query's best ``CANDIDATES`` by flow are compared with all its
-    documents, and more of them only where fewer than ``places`` are proven; other queries keep the order of flow.
-    """
-    scores = stored(scores)
-    order = Window.partitionBy("query_id").orderBy(F.desc("flow"), F.desc("standing"), "id")
-    flows = stored(combined(scores, weights))
-    scored = scores.filter(F.col("relevance").isNotNull() & ~F.isnan("relevance"))
-    docs = stored(scored.groupBy("query_id", "id").agg(F.collect_list(F.struct("list_no", "relevance")).alias("scores")))
-    open_queries = flows.groupBy("query_id").agg(F.count(F.lit(1)).alias("documents"))
-    proven: DataFrame | None = None
-    size = CANDIDATES
-    while True:
-        asked = flows if proven is None else skew_join(flows, open_queries.select("query_id"), "query_id", F.col("id"), "left_semi")
-        best = asked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
-        named = best.join(docs, ["query_id", "id"]).groupBy("query_id").agg(F.collect_list(F.struct("id", "scores")).alias("candidates"))
-        unbeaten = skew_join(docs, named, "query_id", F.col("id")).select("query_id", "id", "scores", "candidates").mapInPandas(_unbeaten, "query_id long, id string, unbeaten long")
-        unbeaten = unbeaten.groupBy("query_id", "id").agg(F.sum("unbeaten").alias("unbeaten"))
-        checked = best.join(unbeaten, ["query_id", "id"], "left").fillna(0, ["unbeaten"]).withColumn("leads", F.col("unbeaten") < places)
-        checked = stored(checked)
-        lead = checked.groupBy("query_id").agg(F.sum(F.col("leads").cast("int")).alias("leading"))
-        lead = lead.join(open_queries, "query_id").withColumn("settled", (F.col("leading") >= F.least(F.lit(places), F.col("documents"))) | (F.col("documents") <= size))
-        settled = lead.filter("settled").select("query_id")
-        part = checked.join(settled, "query_id", "left_semi")
-        proven = part if proven is None else proven.unionByName(part)
-        open_queries = stored(lead.filter(~F.col("settled")).select("query_id", "documents"))
-        if open_queries.isEmpty():
-            break
-        size *= 4
-    final = Window.partitionBy("query_id").orderBy(F.desc("leads"), F.when(F.col("leads"), F.col("unbeaten")), F.desc("flow"), F.desc("standing"), "id")
-    return proven.withColumn("position", F.row_number().over(final)).filter(F.col("position") <= places).select("query_id", "id", "position")
+
+def scores_of(ranked: DataFrame) -> DataFrame:
+    """The scores of a table of ranked lists; repeated rows are one record."""
+    return latest(ranked, ["query_id", "list_no", "id"], ["relevance"])
