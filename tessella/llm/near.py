@@ -11,8 +11,14 @@ BINS bins of a round, which makes two blocks equal with probability J^BLOCK what
 ROUNDS rounds a pair at J = 0.70 is missed once in 1,800, one at 0.75 once in 120,000. Candidates pass
 the sizes, then the Hamming bound of the sketches (both exact), then the true similarity.
 
-Texts of equal tokens form one class; only one row per class and task enters the join, so a text that
-a third of all rows share costs no more than any other.
+``exact=True`` finds candidates without any chance of a miss: two sets of this similarity share one of
+the first n - ceil(SIMILARITY·n) + 1 tokens of each in any common order, so these prefixes, rarest first, are
+joined instead of blocks. It costs some ninety entries and more a text, where blocks cost sixty.
+
+Texts of equal letters form one class; only one row per class and task enters the join, so a text that
+a third of all rows share costs no more than any other. A block that more than RUN_LIMIT classes share is
+cut into tiles of TILE by TILE classes, which go to tasks of their own and put out only those pairs that
+pass the sizes and the Hamming bound.
 
 Defined results: null, blank and short texts take no part; a repeated id is one record; exact copies are
 pairs too; equal similarity needs no tie-break, as every pair is returned; very long texts are taken
@@ -27,19 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessella.llm.common import strings
 from tessella.llm.copies import hash_texts
-from tessella.runtime import stored
+from tessella.runtime import hot_keys, skew_join, stored
 
 SIMILARITY, LEAST, RUN = 0.70, 220, 5
 BLOCK, BINS, ROUNDS = 6, 72, 5
 BLOCKS = BINS // BLOCK * ROUNDS
-#: Block entries that one task joins.
-ENTRIES = 1_500_000
+#: Block entries that are joined at once, pairs that are held at once, classes of a block from which it is cut into tiles, classes of a tile's side.
+ENTRIES, PAIRS, RUN_LIMIT, TILE = 400_000, 2_000_000, 1_000, 2_000
+#: Counters that order tokens by how rare they are, where prefixes are joined.
+COUNTERS = 1 << 20
 #: Ids of linked texts up to which they are sent to every task, to leave unlinked texts where they are; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -150,45 +157,50 @@ def _taking_part(pdf: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
         yield ids[k : k + _BATCH], texts[k : k + _BATCH]
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for ids, texts in _taking_part(pdf):
-            sets = tokens(texts)
-            yield pd.DataFrame({"id": ids, "class": (own := [_class_of(t) for t in texts]), "code": [short_code(c, len(s)) for c, s in zip(own, sets)], "size": [len(s) for s in sets], "sketch": [parity_sketch(s) for s in sets]})
-
+def _members(prefix_of):
+    """Rows (id, class, code, size, sketch, blocks); only a class's first row in a task has blocks."""
 
-def _entries(parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
-            for _, texts in _taking_part(pdf):
-                fresh = {}
-                for t in texts:
-                    c = _class_of(t)
-                    if c not in seen:
-                        fresh[c] = t
-                seen.update(fresh)
+            for ids, texts in _taking_part(pdf):
+                sets, own = tokens(texts), [_class_of(t) for t in texts]
+                fresh = [k for k, c in enumerate(own) if c not in seen and not seen.add(c)]
+                blocks: list = [None] * len(own)
+                if fresh:
+                    some = [sets[k] for k in fresh]
+                    for k, x in zip(fresh, block_sketches(some) if prefix_of is None else map(prefix_of, some)):
+                        blocks[k] = x.astype("<u8").tobytes()
                 if len(seen) > 2_000_000:
                     seen.clear()
-                if not fresh:
-                    continue
-                sets = tokens(list(fresh.values()))
-                blocks = block_sketches(sets).ravel()
-                classes = np.repeat(np.array([short_code(c, len(s)) for c, s in zip(fresh, sets)], dtype=np.uint64), BLOCKS)
-                part = (blocks >> np.uint64(40)) % np.uint64(parts) if parts > 1 else np.zeros(len(blocks), np.uint64)
+                yield pd.DataFrame({"id": ids, "class": own, "code": [short_code(c, len(s)) for c, s in zip(own, sets)], "size": [len(s) for s in sets], "sketch": [parity_sketch(s) for s in sets], "blocks": blocks})
+
+    return run
+
+
+def _entries(parts: int):
+    """Block entries of members, packed by the part of all blocks that they belong to."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), _BATCH):
+                own = pdf.iloc[at : at + _BATCH]
+                blocks = np.frombuffer(b"".join(own["blocks"]), "<u8")
+                codes = np.repeat(own["code"].to_numpy(np.uint64), [len(x) // 8 for x in own["blocks"]])
+                part = (blocks >> np.uint64(40)) % np.uint64(parts)
                 # Five bytes of block and five of class an entry; the rest of the block is in the part's number.
                 order = np.argsort(part, kind="stable")
-                low = np.concatenate([(blocks[order] & _LOW40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], classes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]], axis=1)
-                edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-                rows = [(p, low[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
-                yield pd.DataFrame(rows, columns=["part", "entries"])
+                low = np.concatenate([(blocks[order] & _LOW40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], codes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]], axis=1)
+                there, edges = np.unique(part[order], return_index=True)
+                edges = np.append(edges, len(order))
+                yield pd.DataFrame({"part": there.astype(np.int32), "entries": [low[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]})
 
     return run
 
 
-def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of classes that share a block."""
-    raw = np.frombuffer(b"".join(pdf["entries"]), np.uint8).reshape(-1, 10)
+def _paired(part: int, packed: list[bytes], run_limit: int) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of classes of a part that share a block; of blocks shared by too many, the entries (a, block)."""
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 10)
     wide = np.zeros((len(raw), 16), dtype=np.uint8)
     wide[:, :5], wide[:, 8:13] = raw[:, :5], raw[:, 5:]
     keys = wide.view("<u8")
@@ -197,16 +209,78 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
     new = np.ones(len(block), dtype=bool)
     new[1:] = (block[1:] != block[:-1]) | (cls[1:] != cls[:-1])
     block, cls = block[new], cls[new]
-    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.empty(0, np.int64)
-    place = np.arange(len(block)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(block)]])))
+    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    runs = np.diff(np.concatenate([starts, [len(block)]]))
+    hot = np.repeat(runs > run_limit, runs)
+    if hot.any():
+        yield pd.DataFrame({"a": cls[hot], "b": None, "block": [f"{part}:{x}" for x in block[hot]]})
+    place = np.arange(len(block)) - np.repeat(starts, runs)
+    place[hot] = 0
     # Each entry pairs with those before it in its run: sorted by class, so the smaller class comes first.
-    first = np.repeat(np.arange(len(block)), place)
-    back = np.arange(len(first)) - np.repeat(np.cumsum(place) - place, place) + 1
-    # Codes begin with the size, so pairs of sizes too far apart show at once (one step of slack for rounding).
-    close = (cls[first] >> _HASH_BITS) - (cls[first - back] >> _HASH_BITS) <= np.log(1 / SIMILARITY) * _STEPS + 1
-    first, back = first[close], back[close]
-    pairs = np.unique(np.stack([cls[first - back], cls[first]], axis=1), axis=0) if len(first) else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    upto = np.cumsum(place)
+    at = 0
+    while at < len(place):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+        own = place[at:end]
+        first = np.repeat(np.arange(at, end), own)
+        back = np.arange(len(first)) - np.repeat(np.cumsum(own) - own, own) + 1
+        # Codes begin with the size, so pairs of sizes too far apart show at once (one step of slack for rounding).
+        close = (cls[first] >> _HASH_BITS) - (cls[first - back] >> _HASH_BITS) <= np.log(1 / SIMILARITY) * _STEPS + 1
+        if close.any():
+            pairs = np.unique(np.stack([cls[(first - back)[close]], cls[first[close]]], axis=1), axis=0)
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "block": None})
+        at = end
+
+
+def _joined(run_limit: int):
+    """Over rows sorted by part: what ``_paired`` gives for each part, one part in memory at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, packed = None, []
+        for pdf in batches:
+            for part, entries in zip(pdf["part"], pdf["entries"]):
+                if part != now and packed:
+                    yield from _paired(now, packed, run_limit)
+                    packed = []
+                now = part
+                packed.append(entries)
+        if packed:
+            yield from _paired(now, packed, run_limit)
+
+    return run
+
+
+def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a tile that pass the sizes and the Hamming bound. A tile on the diagonal holds each class once."""
+    out = []
+    inner = pdf["low"].iloc[0] == pdf["high"].iloc[0]
+    pdf = pdf.sort_values("class")
+    sides = (pdf, pdf) if inner else (pdf[pdf["own"] == pdf["low"]], pdf[pdf["own"] == pdf["high"]])
+    by_width = [{w: (g.reset_index(drop=True), np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), w)) for w, g in side.groupby(side["sketch"].map(len))} for side in sides]
+    for wa, (left, x) in by_width[0].items():
+        for wb, (right, y) in by_width[1].items():
+            width = min(wa, wb)
+            x8, y8 = (np.ascontiguousarray(_folded(z, width)).view("<u8") for z in (x, y))
+            m, n = left["size"].to_numpy(np.int64), right["size"].to_numpy(np.int64)
+            ca, cb = left["class"].to_numpy(np.int64), right["class"].to_numpy(np.int64)
+            step = max(1, PAIRS // max(1, len(right) * x8.shape[1]))
+            for at in range(0, len(left), step):
+                far = np.bitwise_count(x8[at : at + step, None, :] ^ y8[None, :, :]).sum(axis=2, dtype=np.int64)
+                both = m[at : at + step, None] + n[None, :]
+                ok = far <= np.floor(both * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9)
+                if inner:
+                    ok &= ca[at : at + step, None] < cb[None, :]
+                i, j = np.nonzero(ok)
+                out.append(pd.DataFrame({"class_a": ca[at + i], "class_b": cb[j], "rep_a": left["id"].to_numpy()[at + i], "rep_b": right["id"].to_numpy()[j]}))
+    none = pd.DataFrame({"class_a": np.empty(0, np.int64), "class_b": np.empty(0, np.int64), "rep_a": np.empty(0, object), "rep_b": np.empty(0, object)})
+    return pd.concat([none, *out])
 
 
 def _bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,17 +304,33 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[ok, ["class_a", "class_b"]]
 
 
-def class_pairs(docs: DataFrame, members: DataFrame) -> DataFrame:
+_NEAR = "class_a long, class_b long, rep_a string, rep_b string"
+
+
+def _within_sizes() -> Column:
+    return (F.col("size_a") >= SIMILARITY * F.col("size_b") - 1e-9) & (F.col("size_b") >= SIMILARITY * F.col("size_a") - 1e-9)
+
+
+def class_pairs(members: DataFrame) -> DataFrame:
     """(class_a, class_b, rep_a, rep_b): classes of ``members`` that share a block and pass the bounds, with their smallest ids."""
-    part_count = max(1, -(-members.count() * BLOCKS // ENTRIES))
-    entries = docs.select("id", "content").mapInPandas(_entries(part_count), "part int, entries binary")
-    found = stored(entries.groupBy("part").applyInPandas(lambda pdf: _joined(pdf), "a long, b long").distinct())
-    classes = members.groupBy("class").agg(F.min(F.struct("id", "code", "size", "sketch")).alias("one"))
-    side = lambda s: classes.select(F.col("one.code").alias(s), F.col("class").alias(f"class_{s}"), F.col("one.id").alias(f"rep_{s}"), F.col("one.size").alias(f"size_{s}"), F.col("one.sketch").alias(f"sketch_{s}"))
-    near = found.join(side("a"), "a").join(side("b"), "b")
-    near = near.filter((F.col("size_a") >= SIMILARITY * F.col("size_b") - 1e-9) & (F.col("size_b") >= SIMILARITY * F.col("size_a") - 1e-9))
-    near = stored(near.mapInPandas(_bound, "class_a long, class_b long, rep_a string, rep_b string"))
-    return near
+    there = members.filter("blocks IS NOT NULL")
+    parts = max(1, -(-(there.agg(F.sum(F.length("blocks"))).first()[0] or 0) // (8 * ENTRIES)))
+    entries = there.select("code", "blocks").mapInPandas(_entries(parts), "part int, entries binary")
+    found = stored(entries.repartition("part").sortWithinPartitions("part").mapInPandas(_joined(RUN_LIMIT), "a long, b long, block string"))
+    classes = stored(members.groupBy("class").agg(F.min(F.struct("id", "code", "size", "sketch")).alias("one")).select("class", "one.*"))
+    side = lambda s: classes.select(F.col("code").alias(s), F.col("class").alias(f"class_{s}"), F.col("id").alias(f"rep_{s}"), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    pairs = stored(found.filter("b IS NOT NULL").select("a", "b").distinct())
+    near = skew_join(skew_join(pairs, side("a"), "a", F.col("b")), side("b"), "b", F.col("a")).filter(_within_sizes()).mapInPandas(_bound, _NEAR)
+    crowded = found.filter("block IS NOT NULL").select("block", F.col("a").alias("code")).distinct()
+    tiles = crowded.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    owned = crowded.join(tiles, "block").join(classes, "code").withColumn("own", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    spread = owned.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = spread.select("block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "class", "id", "size", "sketch")
+    near = near.unionByName(tiled.groupBy("block", "low", "high").applyInPandas(lambda pdf: _tile(pdf), _NEAR))
+    # A pair may come from a block and from tiles, in either order of its classes.
+    turned = F.col("class_a") > F.col("class_b")
+    ordered = near.select(*[F.when(turned, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("class", "rep")])
+    return stored(ordered.distinct())
 
 
 def _texts_of(docs: DataFrame, members: DataFrame, near: DataFrame, whole_classes: bool) -> DataFrame:
@@ -257,44 +347,85 @@ def _texts_of(docs: DataFrame, members: DataFrame, near: DataFrame, whole_classe
 
 def verified(near: DataFrame, texts: DataFrame) -> DataFrame:
     """(class_a, class_b) of the pairs whose texts reach the similarity."""
-    both = near.join(texts.select(F.col("id").alias("rep_a"), F.col("content").alias("content_a")), "rep_a")
-    both = both.join(texts.select(F.col("id").alias("rep_b"), F.col("content").alias("content_b")), "rep_b")
+    one = lambda s: texts.select(F.col("id").alias(f"rep_{s}"), F.col("content").alias(f"content_{s}"))
+    both = skew_join(skew_join(near, one("a"), "rep_a", F.col("class_b")), one("b"), "rep_b", F.col("class_a"))
     return both.mapInPandas(_verify, "class_a long, class_b long")
 
 
-def memberships(docs: DataFrame) -> DataFrame:
-    """(id, class, code, size, sketch) of every text long enough."""
-    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("class", T.LongType()), T.StructField("code", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
-    return stored(docs.select("id", "content").mapInPandas(_members, schema))
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    for pdf in batches:
+        for _, texts in _taking_part(pdf):
+            for own in tokens(texts):
+                counts += np.bincount((own & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(counts)
+    yield pd.DataFrame({"counter": at, "n": counts[at]})
+
+
+def _prefixes(docs: DataFrame):
+    """A function from a token set to the prefix that it must share with any set of the similarity. Rarity is counted over all texts, in COUNTERS numbers."""
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    rows = docs.select("id", "content").mapInPandas(_counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    counts[rows["counter"]] = rows["n"]
+
+    def prefix_of(own: np.ndarray) -> np.ndarray:
+        order = np.lexsort((own, counts[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+        return own[order[: len(own) - int(np.ceil(SIMILARITY * len(own) - 1e-9)) + 1]]
+
+    return prefix_of
+
+
+def memberships(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """(id, class, code, size, sketch, blocks) of every text long enough, from one pass over the texts."""
+    schema = "id string, class long, code long, size int, sketch binary, blocks binary"
+    return stored(docs.select("id", "content").mapInPandas(_members(_prefixes(docs) if exact else None), schema))
 
 
 def _copy_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "copy": hash_texts(list(pdf["content"]))})
+        yield pd.DataFrame({"id": pdf["id"], "copy": [str(h) for h in hash_texts(list(pdf["content"]))]})
+
+
+def links(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, class) of every text long enough, and the (class_a, class_b) whose texts reach the similarity."""
+    members = memberships(docs, exact)
+    near = class_pairs(members)
+    return members.select("id", "class").distinct(), stored(verified(near, stored(_texts_of(docs, members, near, False))))
+
+
+def near_classes(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """(id, class_id, links): for every text long enough the smallest id of those with the same letters, and how many other such texts are similar to it.
+
+    This form has one row a text however many copies there are.
+    """
+    ids, found = links(docs, exact)
+    named = ids.groupBy("class").agg(F.min("id").alias("class_id"))
+    ends = found.select(F.col("class_a").alias("class")).unionAll(found.select(F.col("class_b").alias("class")))
+    counted = named.join(ends.groupBy("class").agg(F.count(F.lit(1)).alias("links")), "class", "left").fillna(0, ["links"])
+    return skew_join(ids, counted, "class", F.col("id")).select("id", "class_id", "links")
 
 
-def near_duplicates(docs: DataFrame, without_copies: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, without_copies: bool = False, exact: bool = False) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of ``docs`` (id, content) that reach the similarity.
 
-    ``without_copies`` leaves out pairs that are equal apart from formatting.
+    ``without_copies`` leaves out pairs that are equal apart from formatting; they are never made.
     """
-    members = memberships(docs)
-    near = class_pairs(docs, members)
+    members = memberships(docs, exact)
+    near = class_pairs(members)
     texts = stored(_texts_of(docs, members, near, without_copies))
-    links = stored(verified(near, texts))
+    found = stored(verified(near, texts))
     ids = members.select("id", "class").distinct()
-    left, right = (ids.select(F.col("id").alias(f"id_{s}"), F.col("class").alias(f"class_{s}")) for s in "ab")
-    across = links.join(left, "class_a").join(right, "class_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-    several = ids.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("class").alias("class_a"))
-    within = left.join(several, "class_a").join(right, F.col("class_a") == F.col("class_b")).filter("id_a < id_b").select("id_a", "id_b")
-    pairs = across.unionAll(within).filter("id_a < id_b").distinct()
-    if not without_copies:
-        return pairs
-    pairs = stored(pairs)
-    hashes = stored(texts.mapInPandas(_copy_hashes, "id string, copy long"))
-    return (
-        pairs.join(hashes.select(F.col("id").alias("id_a"), F.col("copy").alias("copy_a")), "id_a")
-        .join(hashes.select(F.col("id").alias("id_b"), F.col("copy").alias("copy_b")), "id_b")
-        .filter("copy_a != copy_b")
-        .select("id_a", "id_b")
-    )
+    if without_copies:
+        ids = texts.mapInPandas(_copy_hashes, "id string, copy string").join(ids, "id")
+    else:
+        ids = ids.withColumn("copy", F.col("id"))  # no text is a copy of another
+    ids = stored(ids)
+    left, right = (ids.select(F.col("id").alias(f"id_{s}"), F.col("class").alias(f"class_{s}"), F.col("copy").alias(f"copy_{s}")) for s in "ab")
+    hot = hot_keys(ids, "class")
+    across = skew_join(right, skew_join(left, found, "class_a", F.col("id_a"), hot=hot), "class_b", F.col("id_b"), hot=hot)
+    # Only classes whose texts aren't all copies of each other make pairs of their own.
+    several = ids.groupBy("class").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).filter("low < high").select(F.col("class").alias("class_a"))
+    inside = skew_join(left, several, "class_a", F.col("id_a"), hot=hot)
+    within = skew_join(right, inside.withColumnRenamed("class_a", "class_b"), "class_b", F.col("id_b"), hot=hot).filter("id_a < id_b")
+    pairs = across.filter("copy_a != copy_b AND id_a != id_b").unionByName(within.filter("copy_a != copy_b").withColumn("class_a", F.col("class_b")))
+    return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()

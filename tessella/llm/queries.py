@@ -49,6 +49,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(docs).unionAll(near.near_duplicates(chunks, without_copies=True))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [near.near_classes(spark.read.parquet(f"{sf_dir}/{t}.parquet").select("id", "content")).select(F.lit(t).alias("table_name"), "id", "class_id", "links") for t in ("docstore", "chunks")]
+    return both[0].unionAll(both[1])
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -86,7 +91,24 @@ places AS (SELECT query_id, list_no, id, rank() OVER (PARTITION BY query_id, lis
 flows AS (SELECT query_id, id, round(avg((less - (n - less - equal)) / greatest(n - 1, 1)), 12) AS flow, round(avg((less + (equal - 1) / 2) / greatest(n - 1, 1)), 12) AS standing FROM places GROUP BY ALL)
 SELECT query_id, id, round(flow, 9) AS flow, row_number() OVER (PARTITION BY query_id ORDER BY majority DESC NULLS LAST, flow DESC, standing DESC, id) AS position
 FROM flows LEFT JOIN leaders USING (query_id, id)"""
+_CLASSES = """
+texts AS (SELECT 'docstore' AS table_name, id, content FROM docstore UNION SELECT 'chunks', id, content FROM chunks),
+members AS (SELECT table_name, id, letters FROM (SELECT table_name, id, regexp_replace(lower(content), '[^\\p{L}\\p{M}\\p{N}]', '', 'g') AS letters FROM texts) WHERE length(letters) >= 220),
+classes AS (SELECT table_name, letters, min(id) AS class_id FROM members GROUP BY ALL),
+grams AS (SELECT DISTINCT table_name, class_id, substr(letters, k, 5) AS gram FROM (SELECT *, unnest(range(1, length(letters) - 3)) AS k FROM classes)),
+sizes AS (SELECT table_name, class_id, count(*) AS n FROM grams GROUP BY ALL),
+shared AS (SELECT x.table_name, x.class_id AS a, y.class_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.table_name = y.table_name AND x.gram = y.gram AND x.class_id < y.class_id GROUP BY ALL),
+linked AS (SELECT s.table_name, a, b FROM shared s JOIN sizes x ON s.table_name = x.table_name AND a = x.class_id JOIN sizes y ON s.table_name = y.table_name AND b = y.class_id WHERE s.n >= 0.7 * (x.n + y.n - s.n)),
+ends AS (SELECT table_name, class_id, count(*) AS links FROM (SELECT table_name, a AS class_id FROM linked UNION ALL SELECT table_name, b FROM linked) GROUP BY ALL)
+SELECT table_name, id, class_id, coalesce(links, 0) AS links FROM members JOIN classes USING (table_name, letters) LEFT JOIN ends USING (table_name, class_id)"""
+_NEAREST = """
+WITH v AS (SELECT DISTINCT id, vector::DOUBLE[] AS vector FROM dense WHERE id IS NOT NULL AND len(vector) = 64 AND list_aggregate(list_transform(vector, x -> abs(x)), 'max') > 0),
+near AS (SELECT x.id AS id, y.id AS other, round(list_cosine_similarity(x.vector, y.vector), 6) AS cosine FROM v x JOIN v y ON x.id <> y.id),
+best AS (SELECT id, other FROM near WHERE cosine >= 0.8 QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) <= 10)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM best"""
 _SQL = {
+    "p6_classes": f"WITH {_CLASSES.strip()}",
+    "p3_found": _NEAREST,
     "p4_found": f"WITH {_SCORED}, {_LEADERS} SELECT query_id, id FROM leaders",
     "p4_ranking": _RANKING,
 }

@@ -56,10 +56,33 @@ def test_hot_texts_enter_the_join_once(spark):
     t = _text(rng)
     docs = spark.createDataFrame([(f"h{k:04d}", t) for k in range(120)] + [("x", _edited(rng, t, 1))], ROWS)
     members = near.memberships(docs)
-    assert near.class_pairs(docs, members).count() == 1
+    assert near.class_pairs(members).count() == 1
     assert near.near_duplicates(docs).count() == 121 * 120 // 2
 
 
+def test_crowded_blocks_are_cut_into_tiles(spark, monkeypatch):
+    """Variants of one template share blocks by the hundreds; tiles find the same pairs, and so do prefixes instead of blocks."""
+    rng = random.Random(9)
+    template = _text(rng, 60)
+    rows = [(f"t{k:03d}", template[: len(template) * (3 + k % 3) // 6] + " " + _text(rng, 20)) for k in range(150)]
+    rows += [(f"u{k:03d}", _edited(rng, rows[k][1], 2)) for k in range(40)]
+    docs, want = spark.createDataFrame(rows, ROWS), _brute(rows)
+    assert sorted(map(tuple, near.near_duplicates(docs, exact=True).collect())) == want and len(want) >= 40
+    monkeypatch.setattr(near, "RUN_LIMIT", 5)
+    monkeypatch.setattr(near, "TILE", 16)
+    assert sorted(map(tuple, near.near_duplicates(docs).collect())) == want
+    assert sorted(map(tuple, near.near_duplicates(docs, exact=True).collect())) == want
+
+
+def test_near_classes_have_one_row_a_text(spark):
+    rng = random.Random(10)
+    t = _text(rng)
+    rows = [(f"h{k}", t) for k in range(5)] + [("g", t.upper()), ("x", _edited(rng, t, 1)), ("alone", _text(rng)), ("short", "abc"), ("null", None), ("x", _edited(rng, t, 1))]
+    rows[-1] = rows[6]
+    got = {r.id: (r.class_id, r.links) for r in near.near_classes(spark.createDataFrame(rows, ROWS)).collect()}
+    assert got == {**{f"h{k}": ("g", 1) for k in range(5)}, "g": ("g", 1), "x": ("x", 1), "alone": ("alone", 0)}
+
+
 @given(st.lists(st.sets(st.integers(0, 400), min_size=1, max_size=300), min_size=2, max_size=4))
 @settings(max_examples=60, deadline=None)
 def test_sketches_bound_differences(sets):
