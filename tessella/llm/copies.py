@@ -1,19 +1,24 @@
 """Duplicates hidden by formatting.
 
 A table over code points says what to skip (white space, punctuation, symbols) and what to fold
-(full case folding). Texts stream through it into polynomial hashes; a list of named fields hashes
-each name and value apart and adds the fields up, so that their order doesn't count. Rows of equal
-hash are verified against the smallest id by comparing both streams, skipping as the hash did.
+(full case folding). Texts stream through it, block by block, into polynomial hashes. A list of named
+fields has a second hash that adds up one for each name and value, so that their order doesn't count.
+Only ids and hashes are shuffled; contents move only where a hash is shared. Rows of an equal first hash
+are verified against the smallest id by comparing both streams with a pointer into each, skipping as the
+hash did; lists of an equal second hash likewise, field by field.
 
 Marks between two digits and a sign directly before a number count. Format characters, marks and
 everything else that isn't white space, punctuation or a symbol count as they are.
 
-A list of named fields has at least MIN_FIELDS fields; in loose notations their names have at most 61
-characters and four words and differ. JSON with nested values and shorter lists are prose, order counts.
+A list of named fields is JSON (nested objects and arrays too, where only the order of an object's members
+doesn't count), tags, or at least two parts, each a name, a separator and a value, between line ends,
+semicolons, bars, commas or ampersands. Names begin with a letter and may be of any length. A text that could
+be either is both: as prose it is a copy of what has the same stream, as a list of what has the same fields.
 
 Defined results: null and blank contents take no part; contents of nothing but punctuation are copies
-of each other; a repeated id is one record; ties can't occur, the smallest id is kept; hash collisions
-are told apart; an empty table gives an empty result; other columns are ignored.
+of each other; a repeated id is one record, its last version; ties can't occur, the smallest id is kept;
+hash collisions are told apart (rows that collide with a smaller id are grouped by a digest of their stream);
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import WS, code_points, strings
-from tessella.runtime import hot_keys, skew_join, stored
+from tessella.runtime import hot_keys, latest, skew_join, stored
 
 _TABLE = 0x20000  # above it lie only letters, marks and unassigned code points, which stay as they are
 _KEEP, _SKIP, _SPACE, _DIGIT, _WIDE = range(5)
@@ -39,7 +44,12 @@ _SIGNS = np.array([ord(c) for c in "+-−±＋－"], dtype=np.uint32)
 _PRIMES = (2147483647, 2147483629)
 _BASES = (1_000_003_511, 700_000_931)
 _BLOCK = 1 << 16
-MIN_FIELDS = 3
+#: Code points that are hashed at once.
+_BUNDLE = 1 << 18
+#: Fields that make a list.
+MIN_FIELDS = 2
+#: Hashes or ids up to which they are sent to every task, to leave all other contents where they are.
+BROADCAST_KEYS = 100_000
 
 
 @lru_cache(maxsize=1)
@@ -113,7 +123,35 @@ def _powers(base: int, prime: int, size: int) -> np.ndarray:
 
 
 def hash_segments(segments: list[str]) -> np.ndarray:
-    """A 62-bit hash of each segment's counting code points."""
+    """A 62-bit hash of each segment's counting code points. Memory is bounded whatever their sizes."""
+    out = np.zeros(len(segments), dtype=np.uint64)
+    held, size = [], 0
+    for k, s in enumerate(segments):
+        if len(s) > _BUNDLE:
+            out[k] = _hash_stream(s)
+            continue
+        held.append(k)
+        size += len(s)
+        if size > _BUNDLE:
+            out[held] = _hash_bundle([segments[k] for k in held])
+            held, size = [], 0
+    if held:
+        out[held] = _hash_bundle([segments[k] for k in held])
+    return out
+
+
+def _hash_stream(text: str) -> int:
+    """The hash of a long text, rolled on from block to block."""
+    sums, shifts = [0, 0], [1, 1]
+    for block in _stream(text):
+        for j, (base, prime) in enumerate(zip(_BASES, _PRIMES)):
+            terms = (block.astype(np.uint64) + np.uint64(1)) * _powers(base, prime, 1 << max(0, len(block) - 1).bit_length())[: len(block)] % np.uint64(prime)
+            sums[j] = (sums[j] + int(terms.sum(dtype=np.uint64)) % prime * shifts[j]) % prime
+            shifts[j] = shifts[j] * pow(base, len(block), prime) % prime
+    return sums[0] << 31 | sums[1]
+
+
+def _hash_bundle(segments: list[str]) -> np.ndarray:
     sizes = np.array([len(s) for s in segments], dtype=np.int64)
     if not sizes.sum():
         return np.zeros(len(segments), dtype=np.uint64)
@@ -136,37 +174,57 @@ def hash_segments(segments: list[str]) -> np.ndarray:
     return out
 
 
-_PART = re.compile(r"[^\w]*(?:\d+[.)]\s+)?[^\w]*([^\W\d][\w .\-]{0,60}?)[\"'`*\]]*\s*(?:=>|:=|->|[=:：＝])\s*(\S.*)$", re.S)
-_ROW = re.compile(r"[^\w]*([^\W\d][\w .\-]{0,60}?)\s*[|\t]\s*([^\s|].*?)[\s|]*$", re.S)
-_TAG = re.compile(r"<([^\W\d][\w.\-]{0,60})>([^<>]*)</\1>")
+_NAME = r"[^\W\d](?:[\w .\-/()']*[\w)'])?"
+_PART = re.compile(rf"[^\w]*+(?:\d+[.)]\s+[^\w]*+)?({_NAME})[\"'`*\]]*\s*(?:=>|:=|->|[=:：＝])\s*(\S.*|)$", re.S)
+_ROW = re.compile(rf"[^\w]*+({_NAME})\s*[|\t]\s*([^\s|].*?)[\s|]*$", re.S)
+_TAG = re.compile(r"<([^\W\d][\w.\-]*)>([^<>]*)</\1>")
+_TAGS = re.compile(r"</?[^<>]*>")
 _BROKEN = re.compile(r"[\r\n]+")
 
 
+def _flat(value: object, path: str, out: list[tuple[str, str]]) -> None:
+    """The leaves of a JSON value by their paths. Objects come as tuples of pairs, so that repeated names stay."""
+    if isinstance(value, tuple):
+        for k, v in value:
+            _flat(v, f"{path} {k}" if path else k, out)
+    elif isinstance(value, list):
+        for k, v in enumerate(value):
+            _flat(v, f"{path} {k}", out)
+    else:
+        out.append((path, value if isinstance(value, str) else json.dumps(value)))
+
+
 def fields(text: str) -> list[tuple[str, str]] | None:
     """The named fields a text consists of, in any of the usual notations; None if it is no such list."""
     t = text.strip(WS)
-    if len(t) < 8 or not any(c in t for c in ":=|<\t：＝"):
+    if len(t) < 5 or not any(c in t for c in ":=|<\t：＝"):
         return None
-    if t[0] == "{" and t[-1] == "}":
+    if t[0] in "{[" and t[-1] in "}]":
         try:
-            got = json.loads(t, object_pairs_hook=list, parse_float=str, parse_int=str)
-        except ValueError:
+            got = json.loads(t, object_pairs_hook=tuple, parse_float=str, parse_int=str)
+        except (ValueError, RecursionError):
             got = None
         if got is not None:
-            if len(got) >= MIN_FIELDS and all(isinstance(v, str | bool) or v is None for _, v in got):
-                return [(k, v if isinstance(v, str) else json.dumps(v)) for k, v in got]
-            return None
-    if t[0] == "<" and (tags := _TAG.findall(t)) and len(tags) >= MIN_FIELDS and not re.sub(r"</?[^<>]*>", "", _TAG.sub("", t)).strip(WS):
+            leaves: list[tuple[str, str]] = []
+            try:
+                _flat(got, "", leaves)
+            except RecursionError:
+                return None
+            return leaves if len(leaves) >= MIN_FIELDS and any(k for k, _ in leaves) else None
+    if t[0] == "<" and (tags := _TAG.findall(t)) and len(tags) >= MIN_FIELDS and not _TAGS.sub("", _TAG.sub("", t)).strip(WS):
         return tags
     best: list[tuple[str, str]] | None = None
     for cut in ("\n", ";", "|", ",", "&"):
         parts = [p for p in (_BROKEN.split(t) if cut == "\n" else t.split(cut)) if p.strip(WS)]
         if len(parts) < max(MIN_FIELDS, len(best or ()) + 1):
             continue
-        shapes = (_PART, _ROW) if cut == "\n" else (_PART,)
-        for shape in shapes:
-            got = [m.groups() for p in parts if (m := shape.match(p.strip(WS)))]
-            if len(got) == len(parts) and all(len(k.split()) <= 4 for k, _ in got) and len({k.lower() for k, _ in got}) == len(got):
+        for shape in (_PART, _ROW) if cut == "\n" else (_PART,):
+            got = []
+            for p in parts:
+                if not (m := shape.match(p.strip(WS))):
+                    break
+                got.append(m.groups())
+            if len(got) == len(parts) and any(v for _, v in got):
                 best = got
                 break
     return best
@@ -178,26 +236,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_texts(texts: list[str]) -> np.ndarray:
-    """A 64-bit hash of each text, equal for copies."""
-    segments: list[str] = []
-    spans: list[tuple[int, int]] = []
+def hash_texts(texts: list[str]) -> tuple[np.ndarray, list[int | None]]:
+    """Of each text a hash of its stream, and one of its fields if it is a list of such; equal for copies."""
+    segments, spans = list(texts), []
     for t in texts:
-        named = fields(t)
         at = len(segments)
-        if named is None:
-            segments.append(t)
-        else:
-            for k, v in named:
-                segments += (k, v)
-        spans.append((at, len(segments) if named is not None else -1))
-    hashes = hash_segments(segments)
-    out = np.empty(len(texts), dtype=np.uint64)
+        for k, v in fields(t) or ():
+            segments += (k, v)
+        spans.append((at, len(segments)))
     with np.errstate(over="ignore"):
-        mixed = _mix(hashes)
-        for k, (a, b) in enumerate(spans):
-            out[k] = mixed[a] if b < 0 else _mix((_mix(mixed[a:b:2] * np.uint64(3) + mixed[a + 1 : b : 2])).sum(dtype=np.uint64) + np.uint64(b - a))
-    return out.view(np.int64)
+        mixed = _mix(hash_segments(segments))
+        listed = [_mix(_mix(mixed[a:b:2] * np.uint64(3) + mixed[a + 1 : b : 2]).sum(dtype=np.uint64) + np.uint64(b - a)).astype(np.int64) if b > a else None for a, b in spans]
+    return mixed[: len(texts)].view(np.int64), [None if h is None else int(h) for h in listed]
 
 
 def _stream(text: str) -> Iterator[np.ndarray]:
@@ -230,14 +280,10 @@ def _same_stream(a: str, b: str) -> bool:
         x, y = x[size:], y[size:]
 
 
-def same(a: str, b: str) -> bool:
-    """Whether two texts are copies."""
-    if a == b:
-        return True
+def same_fields(a: str, b: str) -> bool:
+    """Whether two texts are lists of the same fields."""
     left, right = fields(a), fields(b)
-    if left is None or right is None:
-        return left is None and right is None and _same_stream(a, b)
-    if len(left) != len(right):
+    if left is None or right is None or len(left) != len(right):
         return False
     order = []
     for named in (left, right):
@@ -246,58 +292,98 @@ def same(a: str, b: str) -> bool:
     return all(_same_stream(k, m) and _same_stream(v, w) for (k, v), (m, w) in zip(*order))
 
 
-def _digest(text: str) -> str:
-    h = hashlib.blake2b(digest_size=16)
-    named = fields(text)
-    if named is None:
-        for block in _stream(text):
-            h.update(block.astype(np.uint32).tobytes())
-        return "t" + h.hexdigest()
-    whole = sorted(_digest_pair(k, v) for k, v in named)
-    return "f" + hashlib.blake2b("".join(whole).encode(), digest_size=16).hexdigest()
+def same(a: str, b: str) -> bool:
+    """Whether two texts are copies."""
+    return _same_stream(a, b) or same_fields(a, b)
 
 
-def _digest_pair(name: str, value: str) -> str:
+def _digest(text: str) -> str:
     h = hashlib.blake2b(digest_size=16)
-    for part in (name, value):
-        for block in _stream(part):
-            h.update(block.astype(np.uint32).tobytes())
-        h.update(b"\xff\xff\xff\xff")
+    for block in _stream(text):
+        h.update(block.astype(np.uint32).tobytes())
     return h.hexdigest()
 
 
 def _hash_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        texts = strings(pdf["content"])
-        at = [k for k, t in enumerate(texts) if t and t.strip(WS)]
-        yield pd.DataFrame({"id": pdf["id"].iloc[at].to_numpy(), "content": [texts[k] for k in at], "h": hash_texts([texts[k] for k in at])})
+        texts = [t if t and t.strip(WS) else None for t in strings(pdf["content"])]
+        at = [k for k, t in enumerate(texts) if t]
+        stream, listed = hash_texts([texts[k] for k in at])
+        out = pd.DataFrame({"id": pdf["id"], "version": pdf["version"], "content": texts, "h": pd.array([None] * len(texts), dtype="Int64"), "f": pd.array([None] * len(texts), dtype="Int64")})
+        out.iloc[at, 3], out.iloc[at, 4] = pd.array(stream, dtype="Int64"), pd.array(listed, dtype="Int64")
+        yield out
 
 
 def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        ok = [same(a, b) for a, b in zip(pdf["content"], pdf["kept"])]
-        yield pd.DataFrame({"keep_id": pdf["keep_id"], "copy_id": pdf["id"], "h": pdf["h"], "digest": [None if y else _digest(t) for y, t in zip(ok, pdf["content"])]})
+        digests = [None if _same_stream(a, b) else _digest(a) for a, b in zip(pdf["content"], pdf["kept"])]
+        yield pd.DataFrame({"id": pdf["id"], "h": pdf["h"], "digest": digests})
+
+
+def _verify_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        ok = np.array([same_fields(a, b) for a, b in zip(pdf["content"], pdf["kept"])], dtype=bool)
+        yield pdf.loc[ok, ["h", "first_h"]]
+
+
+def _contents(hashed: DataFrame, ids: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(id, h, content) of the wanted ids, whose hashes are ``hashes``: few hashes are sent to every task, so that no other content is shuffled."""
+    wanted = stored(hashes.distinct())
+    some = hashed.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "h", "left_semi")
+    return some.join(ids.select("id", "version"), ["id", "version"], "left_semi").groupBy("id", "h").agg(F.max("content").alias("content"))
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """(h, root): for each hash at an edge (h, first_h) the smallest hash of those it is connected to."""
+    both = stored(edges.unionAll(edges.select(F.col("first_h").alias("h"), F.col("h").alias("first_h"))).distinct())
+    labels = both.groupBy("h").agg(F.least("h", F.min("first_h")).alias("root"))
+    while True:
+        labels = stored(labels)
+        told = both.join(labels.select(F.col("h").alias("first_h"), F.col("root").alias("_other")), "first_h").groupBy("h").agg(F.min("_other").alias("_other"))
+        after = labels.join(told, "h").select("h", F.least("root", "_other").alias("root"), (F.col("_other") < F.col("root")).alias("_new"))
+        after = stored(after)
+        if after.filter("_new").isEmpty():
+            return labels
+        labels = after.select("h", "root")
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """(keep_id, copy_id) for every record of ``docs`` (id, content) that has the same content as one of smaller id."""
-    # The content of most rows is alone with its hash and is never shuffled again.
-    hashed = stored(docs.select("id", "content").mapInPandas(_hash_batches, "id string, content string, h long"))
-    groups = hashed.groupBy("h").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "keep_id")
-    hot = hot_keys(hashed, "h")
-    members = skew_join(hashed, groups, "h", F.col("id"), hot=hot)
-    kept = members.filter("id = keep_id").select("h", F.col("content").alias("kept"))
-    checked = stored(skew_join(members.filter("id != keep_id"), kept, "h", F.col("id"), hot=hot).select("id", "content", "kept", "keep_id", "h").mapInPandas(_verify_batches, "keep_id string, copy_id string, h long, digest string"))
+    """(keep_id, copy_id) for every record of ``docs`` (id, content, perhaps ingested_at) that has the same content as one of smaller id."""
+    version = F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(0)) if "ingested_at" in docs.columns else F.lit(0)
+    rows = docs.filter("id IS NOT NULL").select("id", version.cast("long").alias("version"), "content")
+    hashed = stored(rows.mapInPandas(_hash_batches, "id string, version long, content string, h long, f long"))
+    own = stored(hashed.groupBy("id").agg(F.max(F.struct("version", "h", "f")).alias("v")).select("id", "v.*").filter("h IS NOT NULL"))
+    hot = hot_keys(own, "h")
+    groups = stored(own.groupBy("h").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "keep_id"))
+    # Lists: of each stream that is one, its smallest id stands for it.
+    lists = own.filter("f IS NOT NULL").groupBy("f", "h").agg(F.min("id").alias("id"), F.max("version").alias("version"))
+    firsts = lists.groupBy("f").agg(F.min(F.struct("id", "h")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("f", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
+    lists = stored(skew_join(lists, firsts, "f", F.col("h")))
+    members = skew_join(own, groups, "h", F.col("id"), hot=hot).select("id", "version", "h")
+    named = own.join(lists.select("id").distinct(), "id", "left_semi").select("id", "version", "h")
+    texts = stored(_contents(hashed, members.unionByName(named).distinct(), groups.select("h").unionAll(lists.select("h"))))
+    kept = texts.join(groups.select(F.col("keep_id").alias("id"), "h"), ["id", "h"]).select("h", F.col("content").alias("kept"))
+    rest = skew_join(texts, groups, "h", F.col("id"), hot=hot).filter("id != keep_id")
+    checked = stored(skew_join(rest, kept, "h", F.col("id"), hot=hot).select("id", "h", "content", "kept").mapInPandas(_verify_batches, "id string, h long, digest string"))
     # Rows that only collided with the smallest id: groups of their own, by a 128-bit digest.
     apart = checked.filter("digest IS NOT NULL")
-    own = apart.groupBy("h", "digest").agg(F.min("copy_id").alias("first_id"))
-    again = apart.join(own, ["h", "digest"]).filter("copy_id != first_id").select(F.col("first_id").alias("keep_id"), "copy_id")
-    return checked.filter("digest IS NULL").select("keep_id", "copy_id").unionAll(again)
+    strays = apart.join(apart.groupBy("h", "digest").agg(F.min("id").alias("keep_id")), ["h", "digest"]).filter("id != keep_id").select("keep_id", F.col("id").alias("copy_id"))
+    content_of = lambda name, as_: texts.select(F.col("id").alias(name), F.col("content").alias(as_))
+    met = lists.filter("id != first_id").join(content_of("id", "content"), "id")
+    met = skew_join(met, content_of("first_id", "kept"), "first_id", F.col("id"))
+    roots = _roots(met.select("h", "first_h", "content", "kept").mapInPandas(_verify_lists, "h long, first_h long"))
+    # Every stream that has copies or is a list found elsewhere, with the smallest stream connected to it.
+    streams = groups.select("h").unionAll(roots.select("h")).distinct().join(roots, "h", "left").select("h", F.coalesce("root", "h").alias("root"))
+    linked = skew_join(own.select("id", "h"), streams, "h", F.col("id"), hot=hot).join(apart.select("id"), "id", "left_anti").select("id", "root")
+    keep = linked.groupBy("root").agg(F.min("id").alias("keep_id"))
+    pairs = skew_join(linked, keep, "root", F.col("id"), hot=hot).filter("id != keep_id").select("keep_id", F.col("id").alias("copy_id"))
+    return pairs.unionAll(strays)
 
 
 def distinct_records(docs: DataFrame) -> DataFrame:
     """(id, copies) of every record that is the first of its content; copies counts the record itself."""
     pairs = stored(copies(docs))
     counts = pairs.groupBy(F.col("keep_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    solid = docs.filter(F.length(F.regexp_replace("content", f"[{WS}]", "")) > 0).select("id")
+    last = latest(docs.filter("id IS NOT NULL").withColumn("_solid", F.length(F.regexp_replace(F.coalesce("content", F.lit("")), f"[{WS}]", "")) > 0), ["id"], ["_solid"])
+    solid = last.filter("_solid").select("id")
     return solid.join(pairs, solid["id"] == pairs["copy_id"], "left_anti").join(counts, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + 1).alias("copies"))

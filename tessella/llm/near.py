@@ -383,7 +383,8 @@ def memberships(docs: DataFrame, exact: bool = False) -> DataFrame:
 
 def _copy_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "copy": [str(h) for h in hash_texts(list(pdf["content"]))]})
+        stream, listed = hash_texts(list(pdf["content"]))
+        yield pd.DataFrame({"id": pdf["id"], "copy": [str(h) for h in stream], "fields": pd.array(listed, dtype="Int64")})
 
 
 def links(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -416,16 +417,16 @@ def near_duplicates(docs: DataFrame, without_copies: bool = False, exact: bool =
     found = stored(verified(near, texts))
     ids = members.select("id", "class").distinct()
     if without_copies:
-        ids = texts.mapInPandas(_copy_hashes, "id string, copy string").join(ids, "id")
+        ids = texts.mapInPandas(_copy_hashes, "id string, copy string, fields long").join(ids, "id")
     else:
-        ids = ids.withColumn("copy", F.col("id"))  # no text is a copy of another
+        ids = ids.select("id", F.col("id").alias("copy"), F.lit(None).cast("long").alias("fields"), "class")  # no text is a copy of another
     ids = stored(ids)
-    left, right = (ids.select(F.col("id").alias(f"id_{s}"), F.col("class").alias(f"class_{s}"), F.col("copy").alias(f"copy_{s}")) for s in "ab")
+    left, right = (ids.select(F.col("id").alias(f"id_{s}"), F.col("class").alias(f"class_{s}"), F.col("copy").alias(f"copy_{s}"), F.col("fields").alias(f"fields_{s}")) for s in "ab")
     hot = hot_keys(ids, "class")
     across = skew_join(right, skew_join(left, found, "class_a", F.col("id_a"), hot=hot), "class_b", F.col("id_b"), hot=hot)
     # Only classes whose texts aren't all copies of each other make pairs of their own.
     several = ids.groupBy("class").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).filter("low < high").select(F.col("class").alias("class_a"))
     inside = skew_join(left, several, "class_a", F.col("id_a"), hot=hot)
     within = skew_join(right, inside.withColumnRenamed("class_a", "class_b"), "class_b", F.col("id_b"), hot=hot).filter("id_a < id_b")
-    pairs = across.filter("copy_a != copy_b AND id_a != id_b").unionByName(within.filter("copy_a != copy_b").withColumn("class_a", F.col("class_b")))
+    pairs = across.unionByName(within.withColumn("class_a", F.col("class_b"))).filter("id_a != id_b AND copy_a != copy_b AND NOT coalesce(fields_a = fields_b, false)")
     return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()

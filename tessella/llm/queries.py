@@ -15,12 +15,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(records(spark, sf_dir, "docstore", "content"))
 
 
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/chunks.parquet").select("id", "content", "ingested_at")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.copies(records(spark, sf_dir, "chunks", "content"))
+    return copies.copies(_chunks(spark, sf_dir))
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.distinct_records(records(spark, sf_dir, "chunks", "content"))
+    return copies.distinct_records(_chunks(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +106,7 @@ linked AS (SELECT s.table_name, a, b FROM shared s JOIN sizes x ON s.table_name
 ends AS (SELECT table_name, class_id, count(*) AS links FROM (SELECT table_name, a AS class_id FROM linked UNION ALL SELECT table_name, b FROM linked) GROUP BY ALL)
 SELECT table_name, id, class_id, coalesce(links, 0) AS links FROM members JOIN classes USING (table_name, letters) LEFT JOIN ends USING (table_name, class_id)"""
 _NEAREST = """
-WITH v AS (SELECT DISTINCT id, vector::DOUBLE[] AS vector FROM dense WHERE id IS NOT NULL AND len(vector) = 64 AND list_aggregate(list_transform(vector, x -> abs(x)), 'max') > 0),
+WITH v AS (SELECT DISTINCT id, vector::DOUBLE[] AS vector FROM dense WHERE id IS NOT NULL AND len(vector) = 64 AND list_aggregate(list_transform(vector, lambda x: abs(x)), 'max') > 0),
 near AS (SELECT x.id AS id, y.id AS other, round(list_cosine_similarity(x.vector, y.vector), 6) AS cosine FROM v x JOIN v y ON x.id <> y.id),
 best AS (SELECT id, other FROM near WHERE cosine >= 0.8 QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) <= 10)
 SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM best"""
