@@ -148,9 +148,27 @@ def test_neighbours(spark):
 def test_split_cells_find_the_same(spark, monkeypatch):
     rows = _vectors(2)
     df = spark.createDataFrame(rows, "id string, vector array<float>")
+    monkeypatch.setattr(neighbours, "GROUP", 15)
     monkeypatch.setattr(neighbours, "BLOCK", 20)
     monkeypatch.setattr(neighbours, "ASKERS", 50)
     assert {tuple(r) for r in neighbours.similar_pairs(df).collect()} == _brute_pairs(rows)
+    assert {tuple(r) for r in neighbours.similar_pairs(df, exact=True).collect()} == _brute_pairs(rows)
+
+
+def test_crowded_neighbourhoods_lose_nothing():
+    """Hundreds of rows within reach of every query: the bound drawn from the first candidates keeps the true nearest."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=64) * 3 + rng.normal(size=(900, 64)) * rng.uniform(0.1, 1, size=(900, 1))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    books = neighbours.train_codebooks(x)
+    codes = neighbours.encode(x, books)
+    residual = np.linalg.norm(x - np.concatenate([books[m][codes[:, m]] for m in range(books.shape[0])], axis=1), axis=1)
+    query, row, _ = neighbours._best_in_cell(x, codes, residual, x[:100], books)
+    exact = x[:100].astype(np.float64) @ x.T.astype(np.float64)
+    exact[np.arange(100), np.arange(100)] = -1
+    for k in range(100):
+        best = [j for j in np.argsort(-exact[k], kind="stable")[:10] if exact[k, j] >= 0.8]
+        assert set(best) <= set(row[query == k].tolist())
 
 
 def test_quantisation_keeps_scores():
@@ -160,8 +178,11 @@ def test_quantisation_keeps_scores():
     books = neighbours.train_codebooks(x)
     codes = neighbours.encode(x, books)
     back = np.concatenate([books[m][codes[:, m]] for m in range(books.shape[0])], axis=1)
-    assert np.abs(neighbours.scan(x[:50], codes, books) - x[:50] @ back.T).max() < 1e-4
+    score, scale = neighbours.scan(x[:50], codes, books)
+    slack = back.shape[1] // neighbours.STEP // 4 / scale + 1e-5
+    assert np.abs(score / scale - back @ x[:50].T).max() <= slack < 0.02
     residual = x - back
+    assert (np.abs(score / scale - x @ x[:50].T) <= np.linalg.norm(residual, axis=1)[:, None] + slack).all()  # so nothing within reach is skipped
     along = (residual * x).sum(axis=1)
     across = np.linalg.norm(residual, axis=1)
     assert np.abs(along).mean() < 0.25 * across.mean()  # score-aware: little of the residual lies along the vector
