@@ -69,7 +69,7 @@ def table() -> dict[int, str]:
         else:
             kind = unicodedata.decomposition(ch).partition(">")[0]
             name = unicodedata.name(ch, "")
-            if kind in ("<wide", "<narrow", "<isolated", "<initial", "<medial", "<final") or kind == "<compat" and "LIGATURE" in name:
+            if kind in ("<wide", "<narrow", "<isolated", "<initial", "<medial", "<final") or kind == "<compat" and ("LIGATURE" in name or "ROMAN NUMERAL" in name):
                 out[c] = unicodedata.normalize("NFKD", ch)
     out.update({ord(a): b for a, b in _DOTS.items()} | {ord(a): "-" for a in _HYPHENS})
     for other, latin in _LETTERS:
@@ -87,6 +87,24 @@ def plain(text: str) -> str:
     return unicodedata.normalize("NFC", low.translate(table()))
 
 
+@lru_cache(maxsize=1)
+def _touched() -> regex.Pattern:
+    """Finds what the table changes, composed characters of such included, and scripts whose words may hold Latin look-alikes."""
+    t = table()
+    codes = [c for c in range(sys.maxunicode + 1) if c in t or not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4 and any(ord(x) in t for x in unicodedata.normalize("NFD", chr(c)))]
+    ranges, first = [], codes[0]
+    for c, after in zip(codes, [*codes[1:], None]):
+        if after != c + 1:
+            ranges.append(f"\\U{first:08x}-\\U{c:08x}")
+            first = after
+    return regex.compile(rf"[{''.join(ranges)}\p{{Cyrillic}}\p{{Greek}}\p{{Armenian}}]")
+
+
+def untouched(text: str) -> bool:
+    """Whether a text is its own consistent form whatever the vocabulary."""
+    return (text.isascii() or unicodedata.is_normalized("NFC", text)) and not _touched().search(text)
+
+
 @lru_cache(maxsize=1)
 def _unseen() -> dict[int, None]:
     return {c: None for c, s in table().items() if not s}
@@ -222,16 +240,18 @@ def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _counted(counts: Counter) -> pd.DataFrame:
     # Words of equal look must meet in one trie, so they are spread by what they count as.
-    return pd.DataFrame([(w, n, plain_letters(w)) for w, n in counts.items()], columns=["word", "n", "looks"])
+    return pd.DataFrame([(w, n, *((w, False) if w.isascii() and w.isprintable() else (plain_letters(w), _odd(w)))) for w, n in counts.items()], columns=["word", "n", "looks", "odd"])
 
 
 def spellings(docs: DataFrame) -> DataFrame:
     """(word, canonical) of all words of ``docs`` (text) that aren't canonical."""
-    words = docs.select("text").mapInPandas(_vocabulary, "word string, n long, looks string").groupBy("word", "looks").agg(F.sum("n").alias("n"))
+    words = docs.select("text").mapInPandas(_vocabulary, "word string, n long, looks string, odd boolean").groupBy("word", "looks", "odd").agg(F.sum("n").alias("n"))
     words = stored(words)
-    # Words that look like no other and are ordinary stay as they are and need no trie.
-    parts = max(1, -(-words.count() // TRIE_WORDS))
-    split = words.withColumn("part", F.pmod(F.xxhash64("looks"), F.lit(parts)))
+    # An ordinary word that looks like no other is canonical. Only contested ones need a trie.
+    contested = words.groupBy("looks").agg(F.count(F.lit(1)).alias("spellings"), F.max("odd").alias("some_odd")).filter("spellings > 1 OR some_odd").select("looks")
+    entered = stored(words.join(contested, "looks").select("word", "n", "looks"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entered.count() // TRIE_WORDS))
+    split = entered.withColumn("part", F.pmod(F.xxhash64("looks"), F.lit(parts)))
     return stored(split.groupBy("part").applyInPandas(lambda pdf: canonical_spellings(pdf), "word string, canonical string"))
 
 
@@ -242,7 +262,7 @@ def _plain_gap(gap: str) -> str:
 
 def rewritten(text: str, canonical: dict[str, str]) -> str:
     """The text with each word in its canonical spelling and the rest normalised by the table."""
-    if text.isascii() and not _CONTROLS.search(text):
+    if untouched(text):
         return text
     out, at = [], 0
     for a, b in words(text):
