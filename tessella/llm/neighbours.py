@@ -34,9 +34,9 @@ from tessella.runtime import skew_join, stored
 
 DIM, NEIGHBOURS, LEAST_COSINE = 64, 10, 0.80
 #: Vectors that train cells and codebooks, on average, and those of them whose neighbours are searched among all rows to measure recall.
-SAMPLE, QUERIES, RECALL = 20_000, 512, 0.999
+SAMPLE, QUERIES, RECALL = 20_000, 512, 0.997
 #: Cells per square root of the number of vectors, cells at most, vectors up to which cells share a task, vectors of a block.
-CELLS, MOST_CELLS, GROUP, BLOCK = 0.5, 16_384, 4096, 65_536
+CELLS, MOST_CELLS, GROUP, BLOCK = 0.5, 16_384, 8192, 65_536
 #: Vectors that ask one block of an index in one task, and of them at once.
 ASKERS, TOGETHER = 16_384, 256
 #: Dimensions a codeword covers, weight of the residual along the vector (for scores above 0.2), candidates reranked before the bound is drawn closer.
