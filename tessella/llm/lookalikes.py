@@ -68,7 +68,7 @@ def table() -> dict[int, str]:
             out[c] = " "
         else:
             kind = unicodedata.decomposition(ch).partition(">")[0]
-            name = unicodedata.name(ch, "")
+            name = unicodedata.name(ch, "") if kind == "<compat" else ""
             if kind in ("<wide", "<narrow", "<isolated", "<initial", "<medial", "<final") or kind == "<compat" and ("LIGATURE" in name or "ROMAN NUMERAL" in name):
                 out[c] = unicodedata.normalize("NFKD", ch)
     out.update({ord(a): b for a, b in _DOTS.items()} | {ord(a): "-" for a in _HYPHENS})
@@ -91,7 +91,7 @@ def plain(text: str) -> str:
 def _touched() -> regex.Pattern:
     """Finds what the table changes, composed characters of such included, and scripts whose words may hold Latin look-alikes."""
     t = table()
-    codes = [c for c in range(sys.maxunicode + 1) if c in t or not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4 and any(ord(x) in t for x in unicodedata.normalize("NFD", chr(c)))]
+    codes = [c for c in range(sys.maxunicode + 1) if c in t or unicodedata.decomposition(chr(c)) and any(ord(x) in t for x in unicodedata.normalize("NFD", chr(c)))]
     ranges, first = [], codes[0]
     for c, after in zip(codes, [*codes[1:], None]):
         if after != c + 1:
@@ -115,7 +115,7 @@ def _word_characters() -> np.ndarray:
     """Which code points are letters, marks, digits or invisible, in whatever characters they are written."""
     out = np.zeros(sys.maxunicode + 1, dtype=bool)
     for c in range(len(out)):
-        out[c] = unicodedata.category(chr(c))[0] in "LMN" or unicodedata.category(chr(c)) == "Cf"
+        out[c] = (kind := unicodedata.category(chr(c)))[0] in "LMN" or kind == "Cf"
     out[ord("_")] = True
     for c, counts_as in table().items():
         out[c] = all(x.isalnum() for x in counts_as)
