@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import LINE_ENDS, WS, strings
-from tessella.runtime import stored
+from tessella.llm.common import LINE_ENDS, WS, code_points, strings
+from tessella.runtime import skew_join, stored
 
 _NL = rf"(?:\r\n|\r(?!\n)|[{LINE_ENDS.replace(chr(13), '')}])"
 _H = "[" + "".join(c for c in WS if c not in LINE_ENDS) + "]"
@@ -45,9 +47,8 @@ _CLOSED = re.compile(f"[{re.escape(_CLOSERS)}{WS}]*")
 _STRIP = "".join(dict.fromkeys(_CLOSERS + _OPENERS + _STOPS + ",;:،؛，；：、"))
 _NUMBER = re.compile(r"[+\-−]?\d[\d.,:/]*$")
 _FILE = re.compile(r"(?=.*[_\d/\\-])[\w/\\-]+\.\w{1,8}$|\w+_\w+$")
-_QUOTED = re.compile(r"[“„«\"][^“”„«»\"]*[”“»\"]")
 _PARTICLES = "とはがをにのもへで"  # after a Japanese quotation these go on with the outer sentence
-_LETTER_SCRIPTS = re.compile("([Ѐ-ԯ]+)|([Ͱ-Ͽἀ-῿]+)|([؀-ۿݐ-ݿ]+)|([ऀ-ॿ]+)|([぀-ヿ]+)|([一-鿿㐀-䶿]+)|([฀-๿]+)|([A-Za-zÀ-ɏ]+)")
+_SCRIPTS = "Ѐ-ԯ", "Ͱ-Ͽἀ-῿", "؀-ۿݐ-ݿ", "ऀ-ॿ", "぀-ヿ", "一-鿿㐀-䶿", "฀-๿", "A-Za-zÀ-ɏ"
 _THAI_GAP = re.compile(f"(?<=[ก-ฺเ-๏๚๛])[{WS}]+(?=[ก-ฺเ-๏๚๛])")
 
 # Frequent function words, to tell the languages of one script apart.
@@ -64,31 +65,47 @@ _SCRIPT_LANGS = ("ru", "el", "ar", "hi", "ja", "zh", "th", "latin")
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 #: Share of its uses at the end of a block from which an abbreviation can also end a sentence.
 END_SHARE = 0.02
+#: Share of its periods before numbers from which a word that is no abbreviation makes a collocation with them.
+NUMBERED = 0.5
 #: Most model entries that are sent to every task; a larger model is joined to the documents' own keys instead.
 MODEL_ROWS = 200_000
 
 
+@lru_cache(maxsize=1)
+def _script_of() -> np.ndarray:
+    """The number of each code point's script in _SCRIPTS, from 1."""
+    out = np.zeros(0x10000, dtype=np.uint8)
+    for k, ranges in enumerate(_SCRIPTS):
+        for a, b in re.findall("(.)-(.)", ranges):
+            out[ord(a) : ord(b) + 1] = k + 1
+    return out
+
+
 def language(block: str, fallback: str = "en") -> str:
     """The language of a block: by its script, for Latin script by function words."""
-    sizes = [0] * 8
-    for m in _LETTER_SCRIPTS.finditer(block):
-        sizes[m.lastindex - 1] += m.end() - m.start()
-    if not any(sizes):
+    if not block.isascii():
+        codes = code_points(block)
+        sizes = np.bincount(_script_of()[np.where(codes < 0x10000, codes, 0)], minlength=9)[1:].tolist()
+        if not any(sizes):
+            return fallback
+        if sizes[4]:
+            sizes[4] += sizes[5]
+        # Order of preference among equals; kana come with Han letters.
+        best = _SCRIPT_LANGS[max(range(8), key=sizes.__getitem__)]
+        if best != "latin":
+            return best
+    elif not any(map(str.isalpha, block)):
         return fallback
-    if sizes[4]:
-        sizes[4] += sizes[5]
-    best = _SCRIPT_LANGS[max(range(8), key=sizes.__getitem__)]
-    if best != "latin":
-        return best
     votes: Counter = Counter()
     for w in block.lower().split():
-        for lang in _WORDS_OF.get(w, ()):
-            votes[lang] += 1
+        if w in _WORDS_OF:
+            votes.update(_WORDS_OF[w])
     if not votes:
         return fallback if fallback in _FUNCTION_WORDS else "en"
     return max(votes, key=lambda k: (votes[k], k == fallback, k))
 
 
+@lru_cache(maxsize=1 << 16)
 def token_type(word: str) -> str:
     """The class by which a word is counted: numbers and file-like names are one class each."""
     w = word.strip(_STRIP)
@@ -99,13 +116,19 @@ def token_type(word: str) -> str:
     return w.lower()
 
 
+def _low(word: str) -> str:
+    """The word in lower case, but a single letter as it is: an initial isn't a unit."""
+    return word if len(word) == 1 else word.lower()
+
+
+@lru_cache(maxsize=1 << 14)
 def period_type(word: str) -> str | None:
     """The type of a word with one final period, without it; None for any other word."""
     w = word.lstrip(_OPENERS).rstrip(_CLOSERS)
     if len(w) < 2 or w[-1] not in ".．" or w[-2] in _STOPS:
         return None
     w = w[:-1]
-    return "##number" if _NUMBER.match(w) else w.lower()
+    return "##number" if _NUMBER.match(w) else _low(w)
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -120,27 +143,30 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         at = m.end() if m else end
 
 
-def count_tokens(text: str, counts: Counter) -> None:
-    """Add a text's counts: T type, P with period, E at a block's end, L before a lower-case word or number, B the pair across the period."""
+def count_tokens(text: str, words_of: dict[str, Counter], counts: Counter) -> None:
+    """Add a text's words by language to ``words_of``, and to ``counts`` of each type with a period:
+    P how often, E at a block's end, L before a lower-case word or number, B the pair across the period.
+
+    A period within a quotation counts like any other, but what follows a closing quote or bracket may belong to the
+    outer sentence, so such a pair says nothing about the period.
+    """
     lang = "en"
     for a, b in blocks(text):
         block = text[a:b]
         lang = language(block, lang)
         if lang in ("zh", "ja"):
             continue
-        words = _QUOTED.sub(" ", block).split()
+        words = block.split()
+        words_of[lang].update(words)
         last = len(words) - 1
-        for k, word in enumerate(words):
-            kind = period_type(word) if "." in word or "．" in word else None
+        for k in [k for k, w in enumerate(words) if "." in w or "．" in w]:
+            kind = period_type(words[k])
             if kind is None:
-                if t := token_type(word):
-                    counts[lang, "T", t, ""] += 1
                 continue
-            counts[lang, "T", kind, ""] += 1
             counts[lang, "P", kind, ""] += 1
             if k == last:
                 counts[lang, "E", kind, ""] += 1
-            elif after := token_type(words[k + 1]):
+            elif words[k][-1] in ".．" and (after := token_type(words[k + 1])):
                 counts[lang, "B", kind, after] += 1
                 c = words[k + 1].lstrip(_OPENERS)[:1]
                 if after != "##file" and (c.islower() or c.isdigit()):
@@ -148,15 +174,24 @@ def count_tokens(text: str, counts: Counter) -> None:
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
+    words_of, counts = defaultdict(Counter), Counter()
     for pdf in batches:
         for text in strings(pdf["content"]):
             if text:
-                count_tokens(text, counts)
-        if len(counts) > 200_000:
-            yield _as_frame(counts)
-            counts = Counter()
-    yield _as_frame(counts)
+                count_tokens(text, words_of, counts)
+        if len(counts) + sum(map(len, words_of.values())) > 200_000:
+            yield _as_frame(_typed(words_of, counts))
+            words_of, counts = defaultdict(Counter), Counter()
+    yield _as_frame(_typed(words_of, counts))
+
+
+def _typed(words_of: dict[str, Counter], counts: Counter) -> Counter:
+    """``counts`` with the words by their types: T."""
+    for lang, words in words_of.items():
+        for word, n in words.items():
+            if t := period_type(word) or token_type(word):
+                counts[lang, "T", t, ""] += n
+    return counts
 
 
 def _as_frame(counts: Counter) -> pd.DataFrame:
@@ -191,6 +226,9 @@ def train(docs: DataFrame) -> DataFrame:
     starters = stored(starts.join(starts_all, "lang").filter((F.col("c12") >= 5) & (_pair_llr() >= STARTER) & attracted).select("lang", "b"))
     across = pairs.filter(F.col("abbreviation") | number).withColumnRenamed("p", "c1").filter((F.col("c12") >= 2) & (_pair_llr() >= COLLOCATION) & attracted)
     across = across.select("lang", "a", "b").join(starters, ["lang", "b"], "left_anti")
+    # A word too common without a period for an abbreviation ("No. 7") still stands before numbers, if most of its periods do.
+    numbered = pairs.filter(~F.col("abbreviation") & ~number & (F.col("b") == "##number") & (F.col("c12") >= NUMBERED * F.col("p"))).withColumnRenamed("p", "c1")
+    across = across.unionByName(numbered.filter((F.col("c12") >= 5) & (_pair_llr() >= STARTER) & attracted).select("lang", "a", "b"))
     found = types.filter("abbreviation")
     key = lambda kind, *cols: F.concat_ws("|", F.col("lang"), F.lit(kind), *[F.col(c) for c in cols]).alias("key")
     return (
@@ -346,7 +384,7 @@ def _period_ends(block: str, begin: int, k: int, at: int, nxt: int, lang: str, h
         if lead.islower() or (lead.isdigit() and d == lead and not lead.isalpha()):
             return False
         kind = word.rpartition(".")[2] if "." in word else word
-        whole = word.lower()
+        whole = _low(word)
         if has(f"{lang}|A|{whole}"):
             if not has(f"{lang}|E|{whole}"):
                 return False
@@ -356,7 +394,7 @@ def _period_ends(block: str, begin: int, k: int, at: int, nxt: int, lang: str, h
         rest = m.group().lstrip(_OPENERS)
         follows = has(f"{lang}|S|{token_type(rest)}") or not rest.isupper() or len(rest.strip(_STRIP)) == 1
         return bool(rest) and follows
-    kind = "##number" if _NUMBER.match(word) else word.lower()
+    kind = "##number" if _NUMBER.match(word) else _low(word)
     m = _WORD.match(block, nxt)
     nxt_type = token_type(m.group()) or ""
     if not kind:
@@ -366,10 +404,10 @@ def _period_ends(block: str, begin: int, k: int, at: int, nxt: int, lang: str, h
             return False
         return not (has(f"{lang}|C|{kind}|{nxt_type}") or lead.islower() and nxt_type != "##file")
     initial = len(kind) == 1 and kind.isalpha()
-    if not initial and not has(f"{lang}|A|{kind}"):
-        return True
     if has(f"{lang}|C|{kind}|{nxt_type}"):
         return False
+    if not initial and not has(f"{lang}|A|{kind}"):
+        return True
     ends = has(f"{lang}|E|{kind}")
     if nxt_type == "##file" or d in "¿¡":
         return ends
@@ -394,18 +432,6 @@ def sentence_spans(text: str, has: Callable[[str], bool]) -> list[tuple[int, int
     return out
 
 
-class _Asked(set):
-    """Notes the keys that a text asks for and answers yes or no to all."""
-
-    def __init__(self, answer: bool) -> None:
-        super().__init__()
-        self.answer = answer
-
-    def has(self, key: str) -> bool:
-        self.add(key)
-        return self.answer
-
-
 def _keys_of(text: str, longest: int) -> list[str]:
     """Every key of at most ``longest`` characters that classifying a text may ask for.
 
@@ -427,7 +453,7 @@ def _keys_of(text: str, longest: int) -> list[str]:
             while block[right : right + 1] not in _INNER_STOPS and left > 0 and block[left - 1] not in WS and k - left < longest:
                 left -= 1
                 if block[left] not in _OPENERS and (left == 0 or block[left - 1] in _INNER):
-                    kinds.add(block[left:k].lower())
+                    kinds.add(_low(block[left:k]))
             for kind in kinds:
                 keys |= {f"{lang}|A|{kind}", f"{lang}|E|{kind}"} | {f"{lang}|C|{kind}|{f}" for f in follows}
     return sorted(key for key in keys if len(key) <= longest)
@@ -456,7 +482,9 @@ def with_model(docs: DataFrame, model: DataFrame, apply: Callable, schema: str,
         for pdf in batches:
             yield pd.DataFrame([(i, k) for i, t in zip(pdf["id"], strings(pdf["content"])) if t for k in _keys_of(t, longest)], columns=["id", "key"])
 
-    known = docs.select("id", "content").mapInPandas(asked, "id string, key string").join(model, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    # The commonest starters are asked for by most documents; a document's own keys are bounded by its length.
+    every = stored(docs.select("id", "content").mapInPandas(asked, "id string, key string"))
+    known = skew_join(every, model, "key", F.col("id"), "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
 
     def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -82,6 +82,15 @@ def test_model_is_learned_and_joined(spark):
     assert sentences.sentences(docs.limit(0)).count() == 0
 
 
+def test_numbers_quotations_and_initials_are_learned(spark):
+    """"no" is too common a word for an abbreviation; "sgt" stands in quotations only; an initial isn't a unit of the same letter."""
+    texts = [f'Ticket No. {n} is here. There is no end. No one has it. He said “We saw Sgt. {name} there in it. So we went.” Rates took {n} s.' for n, name in enumerate("".join(c) for c in zip("ABCDEFGH" * 50, "uvwxyz" * 70, "abcde" * 80))]
+    docs = spark.createDataFrame([(f"d{n}", t) for n, t in enumerate(texts)], ROWS)
+    model = {r.key for r in sentences.train(docs).collect()}
+    assert {"en|C|no|##number", "en|A|sgt", "en|A|s", "en|E|s"} <= model and "en|A|no" not in model and "en|E|S" not in model
+    assert cut("Ticket No. 7 is here. He met S. Velorra. It took 9 s. Then he left.", model | {"en|A|S"}) == ["Ticket No. 7 is here.", "He met S. Velorra.", "It took 9 s.", "Then he left."]
+
+
 def test_glued_sentences_are_the_same_with_a_joined_model(spark):
     glued = ["He has left.Dr. Smith stayed.", "It went on!Dr. Smith stayed. So it is.", "(See the list.)Dr. Smith stayed.", "It counts 5.“Dr. Smith” stayed.The end."]
     docs = spark.createDataFrame([(f"d{n}", t) for n, t in enumerate(_corpus())] + [(f"g{n}", t) for n, t in enumerate(glued)], ROWS)
