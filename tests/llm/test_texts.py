@@ -88,7 +88,7 @@ def test_numbers_quotations_and_initials_are_learned(spark):
     docs = spark.createDataFrame([(f"d{n}", t) for n, t in enumerate(texts)], ROWS)
     model = {r.key for r in sentences.train(docs).collect()}
     assert {"en|C|no|##number", "en|A|sgt", "en|A|s", "en|E|s"} <= model and "en|A|no" not in model and "en|E|S" not in model
-    assert cut("Ticket No. 7 is here. He met S. Velorra. It took 9 s. Then he left.", model | {"en|A|S"}) == ["Ticket No. 7 is here.", "He met S. Velorra.", "It took 9 s.", "Then he left."]
+    assert cut("Ticket No. 7 is here. He met S. Velorra. It took 9 s. Then he left.", {"en|C|no|##number", "en|A|s", "en|E|s", "en|A|S"}) == ["Ticket No. 7 is here.", "He met S. Velorra.", "It took 9 s.", "Then he left."]
 
 
 def test_glued_sentences_are_the_same_with_a_joined_model(spark):
