@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.errors import InvalidArgument, InvalidPage
+from tessella.errors import InvalidPage
 from tessella.schema import IDENTIFIER, Schema
 
 # Unicode white space, without the separators U+001C to U+001F that Python also strips.
@@ -91,6 +90,26 @@ def valid_records(df: DataFrame, value: str = "vector") -> DataFrame:
     return guarded(df, (some_id(), "MissingID: record"), (F.size(value) > 0, f"EmptyVector: {value}"))
 
 
+def conformed(df: DataFrame, schema: Schema, column: str = "attributes") -> DataFrame:
+    """``df`` with its struct of attributes in the schema's kinds; a value that isn't declared, or of another kind, fails the query."""
+    if column not in df.columns or not isinstance(df.schema[column].dataType, T.StructType):
+        return df
+    own = df.schema[column].dataType
+    more = [F.col(f"{column}.{f.name}").isNull() for f in own if f.name not in (schema.fields or {})]
+    checked = guarded(df, *[(c, "InvalidArgument: attribute is not declared") for c in more]) if more else df
+    if not schema.fields:
+        return checked
+    parts = {f.name: (F.col(f"{column}.{f.name}"), f.dataType) for f in own if f.name in schema.fields}
+    return checked.withColumn(column, schema.coerced(parts)).select(*df.columns)
+
+
+def record_problems(df: DataFrame, value: str = "vector") -> DataFrame:
+    """(problem, id) of records that an upsert refuses, one row each; the first problem of a record counts."""
+    vector = F.col(value)
+    problem = F.when(~F.coalesce(some_id(), F.lit(False)), "MissingID").when(F.coalesce(F.size(vector), F.lit(-1)) <= 0, "EmptyVector")
+    return df.select(problem.alias("problem"), "id").filter("problem IS NOT NULL")
+
+
 def valid_nodes(df: DataFrame) -> DataFrame:
     labels = F.col("labels")
     return guarded(df, (some_id(), "MissingID: node"), ((F.size(labels) > 0) & F.forall(labels, lambda x: x.rlike(rf"\A{IDENTIFIER}\z")), "InvalidGraph: labels"))
@@ -115,9 +134,3 @@ def valid_part(part: Column) -> Column:
 
 def valid_input(parts: Column) -> Column:
     return F.coalesce((F.size(parts) > 0) & F.forall(parts, valid_part), F.lit(False))
-
-
-def checked_url(url: str) -> str:
-    if not urlsplit(url).scheme:
-        raise InvalidArgument(f"{url!r} is not absolute")
-    return url

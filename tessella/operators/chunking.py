@@ -27,6 +27,8 @@ class Sizes:
     separators: tuple[str, ...] = SEPARATORS
 
     def __post_init__(self) -> None:
+        if not self.separators:
+            object.__setattr__(self, "separators", SEPARATORS)
         if self.size <= 0 or not 0 <= self.overlap < self.size:
             raise InvalidArgument("size must be positive and overlap less than it")
 
@@ -192,7 +194,7 @@ def chunk_semantic(docs: DataFrame, embed: Callable[[list[str]], Sequence[Sequen
             if not flat:
                 continue
             x, at, rows = checked_embeddings(flat, embed(flat)), 0, []
-            for i, own in zip(pdf["id"], pdf["sentences"]):
+            for i, attributes, own in zip(pdf["id"], pdf["attributes"], pdf["sentences"]):
                 if not len(own):
                     raise ProtocolError("no sentences")
                 groups = groups_of(x[at : at + len(own)], threshold, least)
@@ -200,19 +202,25 @@ def chunk_semantic(docs: DataFrame, embed: Callable[[list[str]], Sequence[Sequen
                 joined: dict[int, list[str]] = {}
                 for g, s in zip(groups, own):
                     joined.setdefault(g, []).append(s)
-                rows.append((i, [" ".join(p) for p in joined.values()]))
-            yield pd.DataFrame(rows, columns=["id", "parts"])
+                rows.append((i, attributes, [" ".join(p) for p in joined.values()]))
+            yield pd.DataFrame(rows, columns=["id", "attributes", "parts"])
 
-    cut = sources(docs).select("id", segment(F.col("content")).alias("sentences"))
-    parts = cut.mapInPandas(run, "id string, parts array<string>")
-    return as_chunks(parts.join(docs.select("id", "attributes"), "id"))
+    cut = sources(docs).select("id", F.to_json("attributes").alias("attributes"), segment(F.col("content")).alias("sentences"))
+    parts = cut.mapInPandas(run, "id string, attributes string, parts array<string>")
+    return as_chunks(parts.withColumn("attributes", F.from_json("attributes", docs.schema["attributes"].dataType)))
 
 
 def with_context(chunks: DataFrame, docs: DataFrame, context: Callable[[Column, Column], Column]) -> DataFrame:
-    """Chunks with a context made of their source and themselves; order is by (source_id, index)."""
-    source = docs.select(F.col("id").alias("source_id"), F.col("content").alias("_source"))
-    joined = chunks.join(source, "source_id")
-    return joined.withColumn("context", context(F.col("_source"), F.col("content"))).drop("_source").select(*chunks.columns)
+    """Chunks with a context made of their source and themselves; a chunk without its source keeps the context it has."""
+    source = docs.select(F.col("id").alias("source_id"), F.col("content").alias("_source"), F.lit(True).alias("_there"))
+    joined = chunks.join(source, "source_id", "left")
+    made = F.when(F.col("_there"), context(F.col("_source"), F.col("content"))).otherwise(F.col("context"))
+    return joined.withColumn("context", made).drop("_source", "_there").select(*chunks.columns)
+
+
+def in_order(chunks: DataFrame) -> DataFrame:
+    """Chunks of one source together and by index: one shuffle by source, no sort over all of them."""
+    return chunks.repartition("source_id").sortWithinPartitions("source_id", "index")
 
 
 def first_line(source: Column, content: Column) -> Column:

@@ -12,6 +12,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
+from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,23 @@ ROUTES = {
 }
 
 
+# Where the providers are unless told otherwise.
+BASE_URLS = {"openai": "https://api.openai.com/v1", "jina": "https://api.jina.ai/v1", "gemini": "https://generativelanguage.googleapis.com/v1beta", "cohere": "https://api.cohere.com/v2"}
+
+
+def valid_parts(parts: list | None) -> bool:
+    """``valid_input`` over one input that isn't in Spark: parts with kind, text, bytes, mime and url."""
+    some = lambda p, name: bool(p.get(name)) and (not isinstance(p[name], str) or bool(p[name].strip()))
+    forms = {"text": ({"text"}, {"bytes", "mime", "url"}), "bytes": ({"bytes", "mime"}, {"text", "url"}), "url": ({"url"}, {"text", "bytes"})}
+
+    def valid(part: object) -> bool:
+        p = part.asDict() if hasattr(part, "asDict") else dict(part)
+        has, lacks = forms.get(p.get("kind"), (None, None))
+        return has is not None and all(some(p, n) for n in has) and not any(p.get(n) for n in lacks) and (p["kind"] != "url" or bool(urlsplit(p["url"]).scheme))
+
+    return bool(parts) and all(map(valid, parts))
+
+
 @dataclass(frozen=True)
 class Provider:
     """A configured HTTP provider of one capability."""
@@ -45,15 +63,19 @@ class Provider:
     capability: str
     key: str
     model: str
-    base_url: str
-    transport: Transport
+    base_url: str = ""
+    transport: Transport | None = None
 
     def __post_init__(self) -> None:
         if (self.name, self.capability) not in ROUTES:
             raise InvalidArgument(f"{self.name} has no {self.capability}")
-        for what in ("key", "model", "base_url"):
+        for what in ("key", "model"):
             if not getattr(self, what).strip():
                 raise InvalidArgument(f"{what} is blank")
+        if not self.base_url.strip():
+            object.__setattr__(self, "base_url", BASE_URLS[self.name])
+        if self.transport is None:
+            raise InvalidArgument("a provider needs a transport")
 
     def call(self, payload: dict[str, Any], n: int) -> list:
         """Send a request about ``n`` inputs; values come back in input order."""
@@ -76,9 +98,10 @@ class Provider:
             raise ProtocolError(f"malformed response: {e}") from e
 
     def embed(self, inputs: list) -> list:
-        if not inputs:
-            return []
-        if self.capability != "multimodal" and any(not t or not t.strip() for t in inputs):
+        if self.capability == "multimodal":
+            if not inputs or not all(map(valid_parts, inputs)):
+                raise InvalidArgument("multimodal input")
+        elif not inputs or any(not t or not t.strip() for t in inputs):
             raise EmptyText("embedding input")
         values = self.call({"model": self.model, "input" if self.capability != "multimodal" else "inputs": inputs}, len(inputs))
         if any(not v for v in values):

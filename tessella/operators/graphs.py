@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.errors import InvalidArgument, InvalidGraph
-from tessella.model import Page, guarded, valid_edges, valid_nodes
+from tessella.model import Page, conformed, guarded, valid_edges, valid_nodes
 from tessella.predicate import bind, compiled, is_empty
 from tessella.runtime import local_rows, stored
 from tessella.schema import Schema, empty_schema
@@ -71,7 +71,15 @@ def checked(graph: Graph) -> Graph:
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
     out = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("to"))
     back = edges.select(F.col("target_id").alias("at"), F.col("source_id").alias("to"))
-    return {"outbound": out, "inbound": back, "undirected": out.unionByName(back)}[direction].distinct()
+    return {"outbound": out, "inbound": back, "undirected": out.unionByName(back)}[direction]
+
+
+#: Nodes of a frontier up to which it is sent to the edges; a larger one meets them in a shuffle.
+FRONTIER = 100_000
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= FRONTIER else ids
 
 
 def traverse(graph: Graph, request: Traversal, schema: GraphSchema | None = None) -> Graph:
@@ -79,24 +87,28 @@ def traverse(graph: Graph, request: Traversal, schema: GraphSchema | None = None
 
     The edge filter decides which edges are walked. The node filter only decides which nodes come out: paths
     lead through filtered nodes. The page applies to nodes in insertion order, and edges come out if both ends do.
-    Each level is one shuffle of the frontier against the edges, written to the shared folder to cut lineage.
+    Each level picks the frontier's edges first and makes only their ends distinct; the frontier is written to the
+    shared folder to cut lineage. Nodes and edges are checked again on their way out: an edge that was walked to a
+    node that isn't there, or attributes that the schema doesn't declare, fail the traversal.
     """
+    told = schema is not None
     schema = schema or GraphSchema(empty_schema(), empty_schema())
     node_tree, edge_tree = bind(request.node_filter, schema.nodes), bind(request.edge_filter, schema.edges)
     edges = graph.edges if is_empty(edge_tree) else graph.edges.filter(compiled(edge_tree, schema.edges.root))
     steps = _steps(edges, request.direction)
-    if request.depth > 1:
-        steps = stored(steps)
     seeds = local_rows(graph.nodes.sparkSession, id=list(dict.fromkeys(request.seeds)))
     frontier = seen = walked = stored(graph.nodes.select("id").join(seeds, "id", "left_semi").distinct())
     for level in range(request.depth):
-        out = steps.join(frontier.withColumnRenamed("id", "at"), "at", "left_semi").select(F.col("to").alias("id")).distinct()
+        out = steps.join(_sent(frontier.withColumnRenamed("id", "at")), "at", "left_semi").select(F.col("to").alias("id")).distinct()
         frontier = stored(out.join(seen, "id", "left_anti"))
         seen = seen.unionByName(frontier)
         if level + 1 == request.depth or frontier.isEmpty():
             break
         walked = walked.unionByName(frontier)
-    nodes = graph.nodes.join(seen, "id", "left_semi")
+    lost = seen.join(graph.nodes.select("id"), "id", "left_anti").limit(5).collect()
+    if lost:
+        raise InvalidGraph("edges to missing nodes: " + ", ".join(str(r["id"]) for r in lost))
+    nodes = valid_nodes(conformed(graph.nodes, schema.nodes) if told else graph.nodes).join(seen, "id", "left_semi")
     if not is_empty(node_tree):
         nodes = nodes.filter(compiled(node_tree, schema.nodes.root))
     if request.page is not None:
@@ -109,7 +121,8 @@ def traverse(graph: Graph, request: Traversal, schema: GraphSchema | None = None
         used = part if used is None else used.unionByName(part.select(*used.columns)).dropDuplicates(["id"])
     for end in ("source_id", "target_id"):
         used = used.join(kept.withColumnRenamed("id", end), end, "left_semi")
-    return Graph(nodes, used.select(*graph.edges.columns))
+    used = valid_edges(used.select(*graph.edges.columns))
+    return Graph(nodes, conformed(used, schema.edges) if told else used)
 
 
 def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -121,9 +134,14 @@ def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("id"), "id", "left_anti").select(*old.columns).unionByName(placed.select(*old.columns))
 
 
-def upsert(graph: Graph, snapshot: Graph) -> Graph:
+def normalised(snapshot: Graph, schema: GraphSchema) -> Graph:
+    """The snapshot with its attributes in the declared kinds; undeclared ones and other kinds fail the query."""
+    return Graph(conformed(snapshot.nodes, schema.nodes), conformed(snapshot.edges, schema.edges))
+
+
+def upsert(graph: Graph, snapshot: Graph, schema: GraphSchema | None = None) -> Graph:
     """The graph after a snapshot, whose edges must have their ends in the snapshot itself."""
-    new = checked(snapshot)
+    new = checked(snapshot if schema is None else normalised(snapshot, schema))
     return Graph(_replaced(graph.nodes, new.nodes), _replaced(graph.edges, new.edges))
 
 

@@ -37,15 +37,17 @@ def placed(df: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("rank", (F.col("_at") + shift).cast("long")).drop("_at")
 
 
-def reciprocal_rank_fusion(ranked: DataFrame, k: float, by: Sequence[str] = (), payload: Sequence[str] = (), check_payload: bool = False) -> DataFrame:
+def reciprocal_rank_fusion(ranked: DataFrame | None, k: float, by: Sequence[str] = (), payload: Sequence[str] = (), check_payload: bool = False) -> DataFrame | None:
     """(*by, id, *payload, score, relevance, and with ``by`` position), ordered by relevance without: lists (list_no, rank from 0, id) merged per ``by``.
 
     An item's score is the sum of 1/(k + rank + 1) over its places, added up in (list, rank) order so that the
     last digit doesn't depend on the partitioning; relevance is its share of the best score; ties go by id.
-    The payload is that of the first place; with ``check_payload`` differing ones fail the query.
+    The payload is that of the first place; with ``check_payload`` differing ones fail the query. No lists merge to None.
     """
     if not k > 0:
         raise InvalidArgument("k must be positive")
+    if ranked is None:
+        return None
     keys = [*by, "id"]
     place = F.struct("list_no", "rank")
     places = F.array_sort(F.collect_list(place))
@@ -94,18 +96,14 @@ def reranked(docs: DataFrame, query: str, reranker: Reranker, batch: int = 256)
     if not query or not query.strip():
         raise EmptyText("query")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                scores = permuted(len(part), reranker(query, list(part["content"])))
-                yield pd.DataFrame({"id": part["id"], "_score": [float(x) for x in scores]})
-
-    scored = docs.select("id", "content").mapInPandas(run, "id string, _score double")
-    return docs.drop("relevance").join(scored, "id").withColumn("relevance", clamped(F.col("_score"))).drop("_score").orderBy(F.desc("relevance"), "id")
-
-
-def overlap_score(query: Column, content: Column) -> Column:
-    """A deterministic score: the share of the query's words that the text has."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1))
-    return F.size(F.array_intersect(words(query), words(content))) / F.greatest(F.size(words(query)), F.lit(1))
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in series:
+            scores: list[float] = []
+            for at in range(0, len(texts), batch):
+                part = list(texts.iloc[at : at + batch])
+                scores += [float(x) for x in permuted(len(part), reranker(query, part))]
+            yield pd.Series(scores, dtype="float64")
+
+    # A column of its own, not a join by id: an id that occurs twice stays two documents.
+    scored = docs.drop("relevance").withColumn("_score", F.pandas_udf(run, "double")(F.col("content")))
+    return by_relevance(scored.withColumn("relevance", clamped(F.col("_score"))).drop("_score"))

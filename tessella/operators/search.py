@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -146,6 +147,11 @@ def tokenised(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
 
 
+def query_terms(text: str) -> list[str]:
+    """The distinct words of a query, as ``tokenised`` cuts them."""
+    return sorted(set(re.findall(r"[^\W_]+", text.lower())))
+
+
 def _counter(words: Column):
     return lambda term: F.size(F.filter(words, lambda x: x == term))
 
@@ -160,11 +166,10 @@ def bm25(docs: DataFrame, text: str, fields: Sequence[str] = ("content",), reque
         raise EmptyText("query text")
     if not fields or len(set(fields)) != len(fields):
         raise InvalidArgument("search fields must be there and different")
-    spark = docs.sparkSession
-    terms = sorted(r[0] for r in spark.range(1).select(F.explode(F.array_distinct(tokenised(F.lit(text))))).collect())
+    request.bound()
+    terms = query_terms(text)
     if not terms:
         raise EmptyText("query text has no words")
-    request.bound()
     # Words in a projection of their own: inside the counting lambda they would be cut out once for each term.
     words = docs.select("*", *[tokenised(F.coalesce(F.col(f), F.lit(""))).alias(f"_w{n}") for n, f in enumerate(fields)])
     wanted = F.array(*[F.lit(t) for t in terms])

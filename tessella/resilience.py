@@ -9,6 +9,7 @@ from functools import wraps
 import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessella.errors import InvalidArgument, Unavailable
 from tessella.runtime import stored
@@ -48,7 +49,7 @@ def with_fallback(first: Callable[..., DataFrame], second: Callable[..., DataFra
 
 
 def map_ordered(df: DataFrame, function: Callable[[Sequence], Sequence], column: str, output: str, kind: str, concurrency: int) -> DataFrame:
-    """``function`` over a column in ``concurrency`` tasks; rows keep their other columns, so any order column still orders them."""
+    """``function`` over a column in ``concurrency`` tasks; rows come out in the order of ``df``."""
     if concurrency <= 0:
         raise InvalidArgument("concurrency must be positive")
 
@@ -56,5 +57,6 @@ def map_ordered(df: DataFrame, function: Callable[[Sequence], Sequence], column:
         for pdf in batches:
             yield pdf.assign(**{output: list(function(list(pdf[column])))})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.repartition(concurrency).mapInPandas(run, f"{fields}, {output} {kind}")
+    numbered = df.withColumn("_ord", F.monotonically_increasing_id())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields)
+    return numbered.repartition(concurrency).mapInPandas(run, f"{fields}, {output} {kind}").orderBy("_ord").drop("_ord")

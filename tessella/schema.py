@@ -142,7 +142,7 @@ class Schema:
         parts = [_coerced(name, kind, *columns[name]) if name in columns else F.lit(None).cast(KINDS[kind]).alias(name) for name, kind in self._checked().items()]
         if not parts:
             return F.lit(None)
-        some = F.coalesce(*[p.isNotNull() & F.lit(True) for p in parts]) & F.greatest(*[p.isNotNull() for p in parts], F.lit(False))
+        some = F.greatest(*[p.isNotNull() for p in parts], F.lit(False))
         return F.when(some, F.struct(*parts))
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tessella.errors import EmptyVector, InvalidArgument, MissingID
-from tessella.model import Page
+from tessella.model import Page, conformed, valid_records
 from tessella.operators import graphs, search, stores
+from tessella.runtime import stored
 from tessella.schema import Schema, checked_name
-from tessella.sources.tables import VersionedTable
+from tessella.sources.tables import VersionedTable, VersionedTables
 
 
 def _checked_schema(schema: Schema) -> Schema:
@@ -60,10 +61,11 @@ class DocumentStore:
         return T.StructType([T.StructField("id", T.StringType()), T.StructField("content", T.StringType()), T.StructField("attributes", self.schema.struct()), T.StructField(self.value, kind)])
 
     def upsert(self, records: Sequence[Mapping] | DataFrame) -> int:
-        """Insert or replace records; all are checked before any is written. A DataFrame is checked by the query that writes it."""
+        """Insert or replace records; all are checked before any is written. A DataFrame is checked while it is staged, and read once."""
         if isinstance(records, DataFrame):
-            self.table.upsert(records.select(*self._type().names))
-            return records.count()
+            batch = stored(conformed(valid_records(records.select(*self._type().names), self.value), self.schema))
+            self.table.upsert(batch)
+            return batch.count()
         rows, seen = [], set()
         for r in records:
             if not r.get("id"):
@@ -107,7 +109,7 @@ class DocumentStore:
 
 @dataclass
 class GraphStore:
-    """A property graph of two versioned tables."""
+    """A property graph: nodes and edges in tables that change together."""
 
     spark: SparkSession
     path: str
@@ -115,19 +117,15 @@ class GraphStore:
 
     def __post_init__(self) -> None:
         _checked_schema(self.schema.nodes), _checked_schema(self.schema.edges)
-        self.nodes = VersionedTable(self.spark, f"{self.path}/nodes")
-        self.edges = VersionedTable(self.spark, f"{self.path}/edges")
+        self.tables = VersionedTables(self.spark, self.path, ("nodes", "edges"))
 
     def read(self) -> graphs.Graph:
-        return graphs.Graph(self.nodes.read(), self.edges.read())
+        return graphs.Graph(**self.tables.tables())
 
     def upsert(self, snapshot: graphs.Graph) -> None:
-        if self.nodes.version() is None:
-            new = graphs.checked(snapshot)
-        else:
-            new = graphs.upsert(self.read(), snapshot)
-        self.nodes.write(new.nodes)
-        self.edges.write(new.edges)
+        base = self.tables.number()
+        new = graphs.upsert(self.read(), snapshot, self.schema) if base else graphs.checked(graphs.normalised(snapshot, self.schema))
+        self.tables.commit({"nodes": new.nodes, "edges": new.edges}, base)
 
     def traverse(self, request: graphs.Traversal) -> graphs.Graph:
         return graphs.traverse(self.read(), request, self.schema)

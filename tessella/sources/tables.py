@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from dataclasses import dataclass
-from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.errors import InvalidArgument
+from tessella.errors import InvalidArgument, Unavailable
 from tessella.model import clamped, guarded, some_id, valid_documents
 from tessella.runtime import latest
 from tessella.schema import Schema
@@ -38,14 +36,44 @@ def ranked(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return latest(table(spark, sf_dir, "ranked"), ["query_id", "list_no", "id"], list(columns or ("rank", "content", "attributes", "relevance")))
 
 
-def decoded_attributes(raw: Column, schema: Schema) -> Column:
-    """Attributes from JSON text: nothing, null and {} are no attributes; integers keep all their digits."""
-    parsed = F.from_json(raw, schema.struct())
-    names = list(schema.fields or ())
+# Kinds of JSON values that a declared kind takes.
+_JSON_KINDS = {"string": r"STRING", "bool": r"BOOLEAN", "int": r"BIGINT|DECIMAL.*|DOUBLE", "float": r"BIGINT|DECIMAL.*|DOUBLE|FLOAT"}
+
+
+def attribute_problem(raw: Column, schema: Schema) -> Column:
+    """What is wrong with attributes in JSON text, null if nothing: no JSON object, an undeclared name, another kind than declared."""
+    value = F.try_parse_json(raw)
+    names = F.map_keys(F.from_json(raw, "map<string,string>"))
+    none = raw.isNull() | F.trim(raw).isin("", "null")
+    found = F.when(none, F.lit(None).cast("string")).when(value.isNull() | names.isNull(), "malformed").when(F.exists(names, lambda n: ~n.isin(list(schema.fields or ("",)))), "undeclared")
+    for n, kind in (schema.fields or {}).items():
+        own = F.schema_of_variant(F.try_variant_get(value, f"$.{n}", "variant"))
+        number = F.try_variant_get(value, f"$.{n}", "double")
+        wrong = own.isNotNull() & (own != "VOID") & (~own.rlike(f"^({_JSON_KINDS[kind]})$") | (F.lit(kind == "int") & (number != F.floor(number))))
+        found = found.when(wrong, f"{n} is not {kind}")
+    return found
+
+
+def decoded_attributes(raw: Column, schema: Schema, strict: bool = True) -> Column:
+    """Attributes from JSON text: nothing, null and {} are no attributes; integers keep all their digits, whole floats become integers.
+
+    What ``attribute_problem`` finds fails the query; it becomes null where ``strict`` is off.
+    """
+    value = F.try_parse_json(raw)
+    types = {f.name: f.dataType.simpleString() for f in schema.struct()}
+    parts = {n: F.try_variant_get(value, f"$.{n}", t) for n, t in types.items()}
+    for n, kind in (schema.fields or {}).items():
+        if kind == "int":
+            number = F.try_variant_get(value, f"$.{n}", "double")
+            parts[n] = F.coalesce(parts[n], F.when(number == F.floor(number), number.cast("long")))
     some = F.lit(False)
-    for n in names:
-        some = some | parsed[n].isNotNull()
-    return F.when(some, parsed)
+    for p in parts.values():
+        some = some | p.isNotNull()
+    decoded = F.when(some, F.struct(*[p.alias(n) for n, p in parts.items()]))
+    if not strict:
+        return decoded
+    problem = attribute_problem(raw, schema)
+    return F.when(problem.isNull(), decoded).otherwise(F.raise_error(F.concat(F.lit("InvalidArgument: attributes: "), problem)).cast(schema.struct()))
 
 
 def projected(hits: DataFrame, schema: Schema) -> DataFrame:
@@ -63,61 +91,90 @@ def upserted(existing: DataFrame, batch: DataFrame, key: str = "id") -> DataFram
 
 
 @dataclass
-class VersionedTable:
-    """A Parquet table of which each write makes a new version; a pointer file names the current one.
+class VersionedTables:
+    """Parquet tables that change together: each write makes a new version of all of them.
 
-    Readers keep the version they began with, so a table can be read and replaced in one job. The pointer
-    goes through Hadoop's file system, so any shared storage Spark reads will do.
+    The n-th write commits by creating the n-th pointer file, which only one writer can do; a writer that
+    began with an older version fails and changes nothing. Readers keep the version they began with, so
+    tables can be read and replaced in one job. All goes through Hadoop's file system, so any shared storage
+    Spark reads will do. ``vacuum`` removes versions that nobody needs any more.
     """
 
     spark: SparkSession
     path: str
+    names: tuple[str, ...] = ("",)
 
-    def _file(self):
+    def _at(self, *parts: str):
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        path = jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def version(self) -> str | None:
-        fs, path = self._file()
-        if not fs.exists(path):
-            return None
+    def _numbers(self) -> list[int]:
+        fs, path = self._at("_versions")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def number(self) -> int:
+        """The current version's number, 0 before the first write."""
+        return max(self._numbers(), default=0)
+
+    def _folder(self, number: int) -> str:
+        fs, path = self._at("_versions", f"{number:012d}")
         stream = fs.open(path)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())["version"]
         finally:
             stream.close()
 
-    def read(self) -> DataFrame:
+    def version(self) -> str | None:
+        number = self.number()
+        return self._folder(number) if number else None
+
+    def tables(self) -> dict[str, DataFrame]:
         current = self.version()
         if current is None:
             raise InvalidArgument(f"{self.path} holds no table yet")
-        return self.spark.read.parquet(f"{self.path}/{current}")
-
-    def write(self, df: DataFrame) -> DataFrame:
-        name = f"v-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        fs, path = self._file()
-        stream = fs.create(path, True)
+        return {n: self.spark.read.parquet("/".join(filter(None, [self.path, current, n]))) for n in self.names}
+
+    def commit(self, tables: dict[str, DataFrame], base: int | None = None) -> None:
+        """Write all tables and make them version ``base + 1``, if ``base`` is still the current one."""
+        base, folder = self.number() if base is None else base, f"v-{uuid.uuid4().hex}"
+        for n in self.names:
+            tables[n].write.option("compression", "zstd").parquet("/".join(filter(None, [self.path, folder, n])))
+        fs, path = self._at("_versions", f"{base + 1:012d}")
+        try:
+            stream = fs.create(path, False)
+        except Exception as e:
+            fs.delete(self._at(folder)[1], True)
+            raise Unavailable(f"{self.path}: another writer made version {base + 1}") from e
         try:
-            stream.write(bytearray(json.dumps({"version": name}).encode()))
+            stream.write(bytearray(json.dumps({"version": folder}).encode()))
         finally:
             stream.close()
-        return self.read()
 
-    def upsert(self, batch: DataFrame, key: str = "id") -> DataFrame:
-        """Upsert and return the new table; an empty first batch makes an empty table."""
-        if self.version() is None:
-            return self.write(upserted(batch.limit(0), batch, key))
-        return self.write(upserted(self.read(), batch, key))
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove all but the last ``keep`` versions; readers of older ones must be done. Returns how many went."""
+        old = self._numbers()[: -max(1, keep)]
+        for number in old:
+            fs, path = self._at("_versions", f"{number:012d}")
+            fs.delete(self._at(self._folder(number))[1], True)
+            fs.delete(path, False)
+        return len(old)
 
 
-def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
-    """A table of an SQL database, where its driver is on the class path."""
-    if urlsplit(url).scheme != "jdbc":
-        raise InvalidArgument("a JDBC URL begins with jdbc:")
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+class VersionedTable(VersionedTables):
+    """A single table of this kind."""
 
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        super().__init__(spark, path)
 
-def exists(path: str) -> bool:
-    return os.path.exists(path.removeprefix("file://"))
+    def read(self) -> DataFrame:
+        return self.tables()[""]
+
+    def write(self, df: DataFrame, base: int | None = None) -> DataFrame:
+        self.commit({"": df}, base)
+        return self.read()
+
+    def upsert(self, batch: DataFrame, key: str = "id") -> DataFrame:
+        """Upsert and return the new table; an empty first batch makes an empty table."""
+        base = self.number()
+        return self.write(upserted(self.read() if base else batch.limit(0), batch, key), base)

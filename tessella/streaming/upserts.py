@@ -25,11 +25,9 @@ def upsert_stream(stream: DataFrame, target: VersionedTable, checkpoint: str, ke
     def apply(batch: DataFrame, _: int) -> None:
         payload = [c for c in batch.columns if c != key]
         newest = latest(batch.filter(F.col(key).isNotNull()), [key], payload, version)
-        if target.version() is None:
-            target.write(newest)
-            return
-        old = target.read()
-        target.write(latest(old.unionByName(newest), [key], payload, version))
+        base = target.number()
+        table = latest(target.read().unionByName(newest), [key], payload, version) if base else newest
+        target.write(table, base)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("update")
 

@@ -22,7 +22,7 @@ from tessella.operators import stores as D
 from tessella.resilience import map_ordered, retrying, with_fallback
 from tessella.schema import STANDARD, Schema, SchemaBuilder
 from tessella.sources.stores import DocumentStore, GraphStore
-from tessella.sources.tables import VersionedTable, decoded_attributes, upserted
+from tessella.sources.tables import VersionedTable, attribute_problem, decoded_attributes, upserted
 from tessella.streaming.upserts import record_stream, upsert_stream
 
 ATTRS = "struct<tenant:string,age:bigint,score:double,active:boolean>"
@@ -272,6 +272,9 @@ def test_context(spark):
     chunks = C.chunk_recursive(df, C.Sizes(32, 0, (" ",)))
     got = C.with_context(chunks, df, lambda source, own: F.lit("derived")).collect()
     assert [(r.context, r.content) for r in got] == [("derived", "one two three four")]
+    alone = chunks.withColumn("source_id", F.lit("gone")).withColumn("context", F.lit("own"))
+    assert [r.context for r in C.with_context(alone, df, lambda source, own: F.lit("derived")).collect()] == ["own"]
+    assert [r["index"] for r in C.in_order(C.chunk_recursive(df, C.Sizes(5, 0, (" ",)))).collect()] == [0, 1, 2, 3]
 
 
 def graph(spark):
@@ -285,7 +288,7 @@ def graph(spark):
 
 def test_traversal(spark):
     g = graph(spark)
-    schema = G.GraphSchema(SchemaBuilder().string("tenant").build(), SchemaBuilder().string("kind").build())
+    schema = G.GraphSchema(SchemaBuilder().string("tenant").float("weight").build(), SchemaBuilder().string("kind").build())
     acme, keep = P.normalise(P.equal(schema.nodes.string("tenant"), "acme")), P.normalise(P.equal(schema.edges.string("kind"), "keep"))
     for request, nodes, edges in (
         (G.Traversal(["n1"]), "n1 n2", "e12"),
@@ -332,11 +335,44 @@ def test_store_facades(spark, tmp_path):
         DocumentStore(spark, "x", "bad-name", STANDARD)
     with pytest.raises(E.InvalidArgument):
         DocumentStore(spark, "x", "docs", Schema())
-    graph_store = GraphStore(spark, f"file://{tmp_path}/g", G.GraphSchema(SchemaBuilder().string("tenant").build(), SchemaBuilder().string("kind").build()))
+    graph_store = GraphStore(spark, f"file://{tmp_path}/g", G.GraphSchema(SchemaBuilder().string("tenant").float("weight").build(), SchemaBuilder().string("kind").build()))
     graph_store.upsert(graph(spark))
     graph_store.upsert(graph(spark))
     out = graph_store.traverse(G.Traversal(["n1"], "outbound", 2))
     assert out.nodes.count() == 3 and out.edges.count() == 2
+    base, g = graph_store.tables.number(), graph(spark)
+    with pytest.raises(Exception, match="kind is not string"):
+        graph_store.upsert(G.Graph(g.nodes, g.edges.withColumn("attributes", F.struct(F.lit(True).alias("kind")))))
+    with pytest.raises(Exception, match="not declared"):
+        graph_store.upsert(G.Graph(g.nodes.withColumn("attributes", F.struct(F.lit("x").alias("other"))), g.edges))
+    assert graph_store.tables.number() == base == 2
+    with pytest.raises(E.Unavailable):  # a writer that began with version 1 comes too late
+        graph_store.tables.commit({"nodes": g.nodes, "edges": g.edges}, 1)
+    assert graph_store.tables.vacuum(1) == 1 and graph_store.read().nodes.count() == 3
+    with pytest.raises(E.InvalidGraph):
+        G.traverse(G.Graph(g.nodes.filter("id != 'n2'"), g.edges), G.Traversal(["n1"]))
+
+
+def test_frames_are_checked_before_they_are_stored(spark, tmp_path):
+    store = DocumentStore(spark, f"file://{tmp_path}/d", "docs", STANDARD)
+    rows = spark.createDataFrame([("a", "x", [1.0]), ("b", "y", [2.0])], "id string, content string, vector array<float>")
+    good = rows.withColumn("attributes", F.struct(F.lit(7.0).alias("age"), F.lit(1).alias("score")))
+    assert store.upsert(good) == 2 and store.read().filter("attributes.age = 7 AND attributes.score = 1.0").count() == 2
+    for bad, message in ((rows.withColumn("attributes", F.struct(F.lit("old").alias("age"))), "age is not int"), (good.withColumn("id", F.lit("")), "MissingID"), (good.withColumn("vector", F.array().cast("array<float>")), "EmptyVector"), (rows.withColumn("attributes", F.struct(F.lit(1).alias("other"))), "not declared"), (good.withColumn("id", F.lit("a")), "key twice")):
+        with pytest.raises(Exception, match=message):
+            store.upsert(bad)
+    assert store.table.number() == 1
+
+
+def test_json_attributes_are_checked(spark):
+    schema = SchemaBuilder().int("k").string("s").float("x").bool("b").build()
+    cases = {'{"k": 1, "s": "a", "x": 2, "b": true}': None, '{"k": 2.0}': None, "{}": None, " ": None, "null": None, '{"k": null}': None, '{"k": 1.5}': "k is not int", '{"k": "1"}': "k is not int", '{"s": 1}': "s is not string", '{"b": 1}': "b is not bool", '{"y": 1}': "undeclared", '{"k"': "malformed", "[1]": "malformed"}
+    raw = spark.createDataFrame([(j,) for j in cases], "j string")
+    assert {r.j: r.p for r in raw.select("j", attribute_problem(F.col("j"), schema).alias("p")).collect()} == cases
+    got = {r.j: r.a and tuple(r.a) for r in raw.select("j", decoded_attributes(F.col("j"), schema, strict=False).alias("a")).collect()}
+    assert got['{"k": 1, "s": "a", "x": 2, "b": true}'] == (1, "a", 2.0, True) and got['{"k": 2.0}'] == (2, None, None, None) and got["{}"] is None
+    with pytest.raises(Exception, match="undeclared"):
+        raw.filter("j LIKE '%y%'").select(decoded_attributes(F.col("j"), schema)).collect()
 
 
 def test_providers():
@@ -364,6 +400,11 @@ def test_providers():
 
     with pytest.raises(E.Unavailable):
         M.Provider("gemini", "dense", "k", "m", "https://x", broken).embed(["a"])
+    with pytest.raises(E.EmptyText):
+        M.Provider("jina", "dense", "k", "m", transport=transport).embed([])
+    assert M.Provider("jina", "dense", "k", "m", transport=transport).base_url == "https://api.jina.ai/v1"
+    with pytest.raises(E.InvalidArgument):
+        M.Provider("gemini", "multimodal", "k", "m", transport=broken).embed([[{"kind": "text", "text": " "}]])
     rerank = M.Provider("cohere", "rerank", "k", "m", "https://x", lambda *a: (200, b'{"results": [{"index": 0, "relevance_score": 0.5}]}'))
     assert rerank.rerank("q", ["a"]) == [(0, 0.5)] and rerank.rerank("q", []) == []
 
@@ -392,7 +433,7 @@ def test_resilience_and_traces(spark):
 
     assert with_fallback(down, lambda: spark.range(3))().count() == 3
     doubled = map_ordered(spark.range(20), lambda xs: [2 * x for x in xs], "id", "twice", "long", 3)
-    assert [r.twice for r in doubled.orderBy("id").collect()] == [2 * k for k in range(20)]
+    assert [r.twice for r in doubled.collect()] == [2 * k for k in range(20)]
     ended = []
     assert traced("dense.search", lambda: 5, spark, lambda *a: ended.append(a))() == 5 and ended == [("dense.search", None)]
     with pytest.raises(E.EmptyText):
