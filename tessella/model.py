@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.errors import InvalidPage
-from tessella.schema import IDENTIFIER, Schema
+from tessella.schema import IDENTIFIER, Schema, fits
 
 # Unicode white space, without the separators U+001C to U+001F that Python also strips.
 SPACE = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
@@ -95,11 +95,13 @@ def conformed(df: DataFrame, schema: Schema, column: str = "attributes") -> Data
     if column not in df.columns or not isinstance(df.schema[column].dataType, T.StructType):
         return df
     own = df.schema[column].dataType
-    more = [F.col(f"{column}.{f.name}").isNull() for f in own if f.name not in (schema.fields or {})]
-    checked = guarded(df, *[(c, "InvalidArgument: attribute is not declared") for c in more]) if more else df
-    if not schema.fields:
+    declared = schema.fields or {}
+    rules = [(F.col(f"{column}.{f.name}").isNull(), f"InvalidArgument: attribute {f.name} is not declared") for f in own if f.name not in declared]
+    parts = {f.name: (F.col(f"{column}.{f.name}"), f.dataType) for f in own if f.name in declared}
+    rules += [(rule, f"InvalidArgument: attribute {n} is not {declared[n]}") for n, (c, t) in parts.items() if (rule := fits(declared[n], c, t)) is not None]
+    checked = guarded(df, *rules) if rules else df
+    if not declared:
         return checked
-    parts = {f.name: (F.col(f"{column}.{f.name}"), f.dataType) for f in own if f.name in schema.fields}
     return checked.withColumn(column, schema.coerced(parts)).select(*df.columns)
 
 

@@ -146,6 +146,17 @@ class Schema:
         return F.when(some, F.struct(*parts))
 
 
+def fits(kind: str, value: Column, given: T.DataType) -> Column | None:
+    """Whether a value of a known type can be of a declared kind; None if any can."""
+    whole, real = isinstance(given, T.ByteType | T.ShortType | T.IntegerType | T.LongType), isinstance(given, T.FloatType | T.DoubleType)
+    if kind == "int" and real:
+        x = value.cast("double")
+        return value.isNull() | ((x == F.floor(x)) & (x >= -(2.0**63)) & (x < 2.0**63))
+    if kind == "float" and real:
+        return value.isNull() | ~(F.isnan(value) | (F.abs(value) == float("inf")))
+    return None if type(given) is type(KINDS[kind]) or kind in ("int", "float") and whole else value.isNull()
+
+
 def _coerced(name: str, kind: str, value: Column, given: T.DataType) -> Column:
     fail = F.raise_error(F.lit(f"InvalidArgument: attribute {name} is not {kind}"))
     whole, real = isinstance(given, T.ByteType | T.ShortType | T.IntegerType | T.LongType), isinstance(given, T.FloatType | T.DoubleType)

@@ -343,7 +343,7 @@ def test_store_facades(spark, tmp_path):
     base, g = graph_store.tables.number(), graph(spark)
     with pytest.raises(Exception, match="kind is not string"):
         graph_store.upsert(G.Graph(g.nodes, g.edges.withColumn("attributes", F.struct(F.lit(True).alias("kind")))))
-    with pytest.raises(Exception, match="not declared"):
+    with pytest.raises(Exception, match="is not declared"):
         graph_store.upsert(G.Graph(g.nodes.withColumn("attributes", F.struct(F.lit("x").alias("other"))), g.edges))
     assert graph_store.tables.number() == base == 2
     with pytest.raises(E.Unavailable):  # a writer that began with version 1 comes too late
@@ -358,7 +358,7 @@ def test_frames_are_checked_before_they_are_stored(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x", [1.0]), ("b", "y", [2.0])], "id string, content string, vector array<float>")
     good = rows.withColumn("attributes", F.struct(F.lit(7.0).alias("age"), F.lit(1).alias("score")))
     assert store.upsert(good) == 2 and store.read().filter("attributes.age = 7 AND attributes.score = 1.0").count() == 2
-    for bad, message in ((rows.withColumn("attributes", F.struct(F.lit("old").alias("age"))), "age is not int"), (good.withColumn("id", F.lit("")), "MissingID"), (good.withColumn("vector", F.array().cast("array<float>")), "EmptyVector"), (rows.withColumn("attributes", F.struct(F.lit(1).alias("other"))), "not declared"), (good.withColumn("id", F.lit("a")), "key twice")):
+    for bad, message in ((rows.withColumn("attributes", F.struct(F.lit("old").alias("age"))), "age is not int"), (good.withColumn("id", F.lit("")), "MissingID"), (good.withColumn("vector", F.array().cast("array<float>")), "EmptyVector"), (rows.withColumn("attributes", F.struct(F.lit(1).alias("other"))), "is not declared"), (good.withColumn("id", F.lit("a")), "key twice")):
         with pytest.raises(Exception, match=message):
             store.upsert(bad)
     assert store.table.number() == 1
