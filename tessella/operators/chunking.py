@@ -226,10 +226,3 @@ def in_order(chunks: DataFrame) -> DataFrame:
 def first_line(source: Column, content: Column) -> Column:
     """A context that needs no model: the source's first line, whole."""
     return trimmed(F.regexp_extract(trimmed(source), r"^[^\n\r]*", 0))
-
-
-def opening(source: Column, content: Column) -> Column:
-    """The first 80 code points of the source's first line."""
-    return F.substring(first_line(source, content), 1, 80)
-
-

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import predicate as P
-from tessella.functions.vectors import cosine
 from tessella.model import PART_TYPE, Page, clamped, trimmed, valid_chunks, valid_documents, valid_input
 from tessella.operators import chunking, graphs, ranking, search, stores
 from tessella.operators.embedding import embedded, hashed_embedder
@@ -204,32 +203,13 @@ def rrf_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("query_id", "id", "content", "attributes.tenant")
 
 
-@query(
-    f"""WITH {_DENSE}, {_DOCS}, a AS (SELECT id, row_number() OVER (ORDER BY relevance DESC, id) - 1 AS rank FROM docs WHERE relevance IS NOT NULL),
-    b AS (SELECT id, row_number() OVER (ORDER BY attributes.score DESC, id) - 1 AS rank FROM docs WHERE attributes.score IS NOT NULL),
-    l AS (SELECT id, rank FROM a WHERE rank < 100 UNION ALL SELECT id, rank FROM b WHERE rank < 100), s AS (SELECT id, sum(1.0 / (60 + rank + 1)) AS score FROM l GROUP BY id)
-    SELECT id, round(score / (SELECT max(score) FROM s), 6) AS relevance FROM s"""
-)
-def rrf_two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    docs = tables.documents(spark, sf_dir)
-
-    def best(score: str) -> DataFrame:
-        top = docs.filter(F.col(score).isNotNull()).select("id", F.col(score).alias("s")).orderBy(F.desc("s"), "id").limit(100)
-        return top.select("id", (F.row_number().over(Window.orderBy(F.desc("s"), "id")) - 1).alias("rank"))
-
-    merged = ranking.reciprocal_rank_fusion(ranking.tagged([best("relevance"), best("attributes.score")]), 60)
-    return merged.select("id", F.round("relevance", 6).alias("relevance"))
-
-
 @query(
     f"""WITH {_DOCS}, l AS (SELECT id, row_number() OVER (ORDER BY relevance DESC, id) - 1 AS rank FROM docs WHERE relevance IS NOT NULL
     UNION ALL SELECT id, row_number() OVER (ORDER BY attributes.score DESC, id) - 1 FROM docs WHERE attributes.score IS NOT NULL),
     s AS (SELECT id, sum(1.0 / (60 + rank + 1)) AS score FROM l GROUP BY id) SELECT id, round(score / (SELECT max(score) FROM s), 6) AS relevance FROM s"""
 )
-def rrf_two_whole_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # rrf_two_lists without its depth: every scored document of both lists takes part.
+def rrf_two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scored document of both lists takes part; ranks come from a distributed sort."""
     docs = tables.documents(spark, sf_dir, "relevance", "attributes")
 
     def ranks(score: str) -> DataFrame:
@@ -287,21 +267,12 @@ def delete_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed.agg(F.countDistinct("id").alias("deleted"))
 
 
-@query(
-    f"""WITH {_DENSE}, old AS (SELECT id, content FROM ds WHERE id < 'vec-000000400'), new AS (SELECT id, content || ' (new)' AS content FROM ds WHERE id >= 'vec-000000200')
-    SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new"""
-)
-def upsert_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.dense(spark, sf_dir, "content")
-    return tables.upserted(rows.filter("id < 'vec-000000400'"), rows.filter("id >= 'vec-000000200'").withColumn("content", F.concat("content", F.lit(" (new)"))))
-
-
 @query(
     f"""WITH {_DENSE}, new AS (SELECT id, content || ' (new)' AS content FROM ds WHERE attributes.active UNION ALL SELECT 'new-' || id, content FROM ds WHERE attributes.active)
     SELECT id, content FROM ds WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new"""
 )
-def upsert_dense_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The whole table is there before; the batch is a share of it with new contents, and as many new ids.
+def upsert_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table is there before; the batch is a share of it with new contents, and as many new ids."""
     rows = tables.dense(spark, sf_dir, "content", "attributes")
     chosen = rows.filter("attributes.active").select("id", "content")
     batch = chosen.withColumn("content", F.concat("content", F.lit(" (new)"))).unionByName(chosen.withColumn("id", F.concat(F.lit("new-"), "id")))
@@ -343,34 +314,11 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), n AS (SELECT *, lag(e) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM v),
-    c AS (SELECT vec_id, label, CASE WHEN p IS NOT NULL AND round(list_cosine_similarity(p, e), 9) < 0.1 THEN 1 ELSE 0 END AS cut FROM n)
-    SELECT vec_id, label, CAST(sum(cut) OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS grp FROM c"""
-)
-def semantic_groups_min1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("label").orderBy("vec_id")
-    rows = tables.table(spark, sf_dir, "embeddings").withColumn("p", F.lag("embedding").over(order))
-    cut = F.col("p").isNotNull() & (F.round(cosine(F.col("p"), F.col("embedding")), 9) < 0.1)
-    return rows.withColumn("cut", cut.cast("int")).select("vec_id", "label", F.sum("cut").over(order).alias("grp"))
-
-
-@query(
-    f"""WITH {_DOCS}, {_CHUNKS}, f AS (SELECT id, content FROM docs) SELECT cs.id, cs.source_id, cs.index, cs.content, substr({_TRIM.format("regexp_extract(" + _TRIM.format('f.content') + ", '^[^\\n\\r]*')")}, 1, 80) AS context
-    FROM cs JOIN f ON cs.source_id = f.id"""
+    f"""WITH {_DOCS}, {_CHUNKS}, f AS (SELECT id, content FROM docs) SELECT cs.id, cs.source_id, cs.index, cs.content, CASE WHEN f.id IS NOT NULL THEN {_TRIM.format("regexp_extract(" + _TRIM.format('f.content') + ", '^[^\\n\\r]*')")} ELSE cs.context END AS context
+    FROM cs LEFT JOIN f ON cs.source_id = f.id"""
 )
 def chunk_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chunking.with_context(tables.chunks(spark, sf_dir), tables.documents(spark, sf_dir, "content"), chunking.opening)
-    return out.select("id", "source_id", "index", "content", "context")
-
-
-@query(
-    f"""WITH {_DOCS}, {_CHUNKS}, f AS (SELECT id, content FROM docs) SELECT cs.id, cs.source_id, cs.index, cs.content, {_TRIM.format("regexp_extract(" + _TRIM.format('f.content') + ", '^[^\\n\\r]*')")} AS context
-    FROM cs JOIN f ON cs.source_id = f.id"""
-)
-def chunk_contextual_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # chunk_contextual with the whole first line.
+    """Each chunk's context is the whole first line of its source."""
     out = chunking.with_context(tables.chunks(spark, sf_dir), tables.documents(spark, sf_dir, "content"), chunking.first_line)
     return out.select("id", "source_id", "index", "content", "context")
 
@@ -438,13 +386,15 @@ def graph_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_GRAPH_SQL}, one AS (SELECT s AS id FROM edges WHERE t = 'region-0' UNION SELECT 'region-0'), k AS (SELECT id FROM one ORDER BY id LIMIT 3 OFFSET 1)
+    f"""WITH {_GRAPH_SQL}, one AS (SELECT s AS id FROM edges WHERE t = 'region-0' UNION SELECT 'region-0'), k AS (SELECT id FROM one ORDER BY length(id) DESC, id DESC LIMIT 3 OFFSET 1)
     SELECT 'node' AS what, id FROM k UNION ALL SELECT 'edge', s || '>' || t FROM edges WHERE s IN (SELECT id FROM k) AND t IN (SELECT id FROM k)"""
 )
 def graph_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _customers(spark, sf_dir)
-    by_name = graphs.Graph(g.nodes.withColumn("_ord", F.lit(0).cast("long")), g.edges)
-    return _both(graphs.traverse(by_name, graphs.Traversal(["region-0"], "inbound", 1, page=Page(3, 1))))
+    # Inserted with the longest ids first, then backwards.
+    number = F.regexp_extract("id", r"(\d+)$", 1).cast("long") + F.when(F.col("id").startswith("region"), 1000).otherwise(0)
+    first = graphs.Graph(g.nodes.withColumn("_ord", -F.length("id").cast("long") * 1_000_000 - number), g.edges)
+    return _both(graphs.traverse(first, graphs.Traversal(["region-0"], "inbound", 1, page=Page(3, 1))))
 
 
 @query("SELECT 'dangling target_id' AS problem, 'nation-' || n_nationkey || '>region-' || n_regionkey AS id FROM nation WHERE n_regionkey = 4")
@@ -453,11 +403,19 @@ def snapshot_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.violations(graphs.Graph(g.nodes.filter("id != 'region-4'"), g.edges))
 
 
-@query(f"WITH {_GRAPH_SQL} SELECT id, CASE WHEN id LIKE 'region-%' THEN 'REGION' ELSE label END AS label FROM nodes")
+@query(
+    f"""WITH {_GRAPH_SQL} SELECT 'node' AS what, id, CASE WHEN id LIKE 'region-%' THEN 'REGION' ELSE label END AS label FROM nodes
+    UNION ALL SELECT 'edge', s || '>' || t, CASE WHEN kind = 'in_region' THEN 'lies_in' ELSE kind END FROM edges UNION ALL SELECT 'edge', 'region-' || r_regionkey || '>region-0', 'near' FROM region"""
+)
 def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and nations again with other labels, the edges between them replaced, and new ones."""
     g = _customers(spark, sf_dir)
-    new = graphs.Graph(g.nodes.filter("id LIKE 'region-%'").withColumn("labels", F.array(F.lit("REGION"))), g.edges.limit(0))
-    return graphs.upsert(g, new).nodes.select("id", F.col("labels")[0].alias("label"))
+    some = g.nodes.filter("id LIKE 'region-%' OR id LIKE 'nation-%'").withColumn("labels", F.when(F.col("id").startswith("region-"), F.array(F.lit("REGION"))).otherwise(F.col("labels")))
+    moved = g.edges.filter("attributes.kind = 'in_region'").withColumn("attributes", F.struct(F.lit("lies_in").alias("kind")))
+    to = F.lit("region-0")
+    near = g.nodes.filter("id LIKE 'region-%'").select(F.concat_ws(">", "id", to).alias("id"), F.col("id").alias("source_id"), to.alias("target_id"), F.lit("near").alias("type"), F.struct(F.lit("near").alias("kind")).alias("attributes"), F.xxhash64("id").alias("_ord"))
+    out = graphs.upsert(g, graphs.Graph(some, moved.unionByName(near)), graphs.GraphSchema(_NODE_SCHEMA, _EDGE_SCHEMA))
+    return out.nodes.select(F.lit("node").alias("what"), "id", F.col("labels")[0].alias("label")).unionByName(out.edges.select(F.lit("edge").alias("what"), "id", F.col("attributes.kind").alias("label")))
 
 
 @query(f"WITH {_CHUNKS} SELECT 'node' AS what, id FROM cs UNION ALL SELECT DISTINCT 'node', source_id FROM cs UNION ALL SELECT 'edge', id || '→' || source_id FROM cs")
@@ -469,8 +427,9 @@ def graph_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_DOCS} SELECT id, content IS NOT NULL AND {_TRIM.format('content')} <> '' AS valid FROM docs")
 def multimodal_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.struct(F.lit("text").alias("kind"), F.lit(None).cast("string").alias("mime"), F.col("content").alias("text"), F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("string").alias("url"))
+    raw = F.struct(F.lit("bytes").alias("kind"), F.lit("text/plain").alias("mime"), F.lit(None).cast("string").alias("text"), F.col("id").cast("binary").alias("bytes"), F.lit(None).cast("string").alias("url"))
     link = F.struct(F.lit("url").alias("kind"), F.lit(None).cast("string").alias("mime"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("bytes"), F.concat(F.lit("https://example.org/"), "id").alias("url"))
-    parts = F.array(text.cast(PART_TYPE), link.cast(PART_TYPE))
+    parts = F.array(text.cast(PART_TYPE), raw.cast(PART_TYPE), link.cast(PART_TYPE))
     return tables.documents(spark, sf_dir, "content").select("id", valid_input(parts).alias("valid"))
 
 

@@ -32,7 +32,7 @@ def test_against_sql(spark, sql, name):
 
 
 def test_upsert_meets_the_whole_table(spark, sql):
-    got = entry.queries()["upsert_dense_whole"](spark, DATA)
+    got = entry.queries()["upsert_dense"](spark, DATA)
     n, new, replaced = sql.execute("SELECT count(DISTINCT id), count(DISTINCT id) FILTER (attributes.active), count(DISTINCT id) FILTER (attributes.active AND content IS NOT NULL) FROM dense").fetchone()
     assert got.count() == n + new and got.filter("content LIKE '% (new)'").count() == replaced > 0
 
