@@ -297,14 +297,41 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_fixed(tables.documents(spark, sf_dir), chunking.Sizes(400, 40)).select("source_id", F.col("index").cast("long").alias("index"), "content")
 
 
-@query()
+def _gathered_sql(separator: str, size: int = 400) -> str:
+    """Neighbouring pieces of ``text`` between separators, joined while they fit; one that makes the join too long stands alone."""
+    need = f"length(p) + {len(separator)}"
+    sep = "chr(10)" if separator == "\n" else "chr(10) || chr(10)" if separator == "\n\n" else f"'{separator}'"
+    start = "{'g': CAST([] AS VARCHAR[]), 'room': CAST(-1 AS BIGINT)}"
+    step = f"""CASE WHEN s.room >= {need} THEN {{'g': list_append(s.g[1:-2], s.g[-1] || {sep} || p), 'room': s.room - ({need})}}
+        WHEN s.room < 0 AND length(p) <= {size} THEN {{'g': list_append(s.g, p), 'room': {size} - length(p)}} ELSE {{'g': list_append(s.g, p), 'room': CAST(-1 AS BIGINT)}} END"""
+    pieces = f"list_filter(list_transform(string_split(text, {sep}), lambda x: {_TRIM.format('x')}), lambda x: x <> '')"
+    return f"CASE WHEN contains(text, {sep}) THEN list_reduce({pieces}, lambda s, p: {step}, {start}).g ELSE [text] END"
+
+
+def _recursive_sql(source: str) -> str:
+    """Parts of the texts of ``source`` (id, tenant, section, text), generation by generation."""
+    gens = f"g0 AS (SELECT id, tenant, section, [0::BIGINT] AS path, {_TRIM.format('text')} AS text FROM {source})"
+    for k, separator in enumerate(chunking.SEPARATORS):
+        gens += f""", p{k} AS (SELECT id, tenant, section, path, {_gathered_sql(separator)} AS parts FROM g{k} WHERE length(text) > 400),
+        g{k + 1} AS (SELECT id, tenant, section, list_append(path, k::BIGINT) AS path, part AS text FROM (SELECT id, tenant, section, path, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM p{k}))"""
+    done = " UNION ALL ".join(f"SELECT id, tenant, section, {k} AS level, path, 0 AS w, text FROM g{k} WHERE length(text) BETWEEN 1 AND 400" for k in range(4))
+    rest = f"SELECT id, tenant, section, 3, path, w, {_TRIM.format('substr(text, CAST(w * 360 + 1 AS BIGINT), 400)')} FROM (SELECT *, unnest(range(CAST(ceil((length(text) - 400) / 360.0) AS BIGINT) + 1)) AS w FROM g3 WHERE length(text) > 400)"
+    return f"""{gens}, parts AS ({done} UNION ALL {rest}), placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY section, level, path, w) - 1 AS index FROM parts)
+    SELECT id AS source_id, CAST(index AS INTEGER) AS index, text AS content, tenant FROM placed WHERE text <> ''"""
+
+
+@query(f"WITH {_DOCS}, t AS (SELECT id, attributes.tenant AS tenant, 0 AS section, content AS text FROM docs WHERE {_SOLID}), {_recursive_sql('t')}")
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_recursive(tables.documents(spark, sf_dir), chunking.Sizes(400, 40)).select("id", "source_id", "index", "content", "attributes")
+    return chunking.chunk_recursive(tables.documents(spark, sf_dir), chunking.Sizes(400, 40)).select("source_id", "index", "content", "attributes.tenant")
 
 
-@query()
+@query(
+    f"""WITH {_DOCS}, l AS (SELECT id, attributes.tenant AS tenant, string_split(content, chr(10)) AS lines FROM docs WHERE {_SOLID}), e AS (SELECT id, tenant, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM l),
+    h AS (SELECT *, sum(CASE WHEN k > 1 AND starts_with({_TRIM.format('line')}, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS section FROM e),
+    t AS (SELECT id, any_value(tenant) AS tenant, section, string_agg(line, chr(10) ORDER BY k) AS text FROM h GROUP BY id, section), {_recursive_sql('t')}"""
+)
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_markdown(tables.documents(spark, sf_dir), chunking.Sizes(400, 40)).select("id", "source_id", "index", "content", "attributes")
+    return chunking.chunk_markdown(tables.documents(spark, sf_dir), chunking.Sizes(400, 40)).select("source_id", "index", "content", "attributes.tenant")
 
 
 @query()
