@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,12 +156,26 @@ def _counter(words: Column):
     return lambda term: F.size(F.filter(words, lambda x: x == term))
 
 
-def bm25(docs: DataFrame, text: str, fields: Sequence[str] = ("content",), request: Request = Request()) -> DataFrame:
-    """(id, score, relevance, position): documents by BM25 (k1 1.2, b 0.75), the best field counting.
+def _bm25_score(terms: Sequence[str], fields: int, docs: int, averages: Sequence[float | None], with_term: dict[tuple[int, int], int], tf: Callable[[int, int], Column], length: Callable[[int], Column]) -> Column:
+    """The score of a row: of each field the sum over the terms in their order, the best field counting."""
+    scores = []
+    for n in range(fields):
+        parts = []
+        for k in range(len(terms)):
+            df = with_term.get((n, k), 0)
+            idf = math.log(1 + (docs - df + 0.5) / (df + 0.5))
+            f = tf(n, k).cast("double")
+            parts.append(F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * length(n) / F.lit(averages[n] or 1.0))))
+        scores.append(sum(parts[1:], parts[0]))
+    return F.round(scores[0] if len(scores) == 1 else F.greatest(*scores), DIGITS).alias("score")
 
-    Statistics cover all documents, the filter only decides which may be found. Only the query's terms are
-    counted in each document: term counts are one expression a row, and document frequencies one aggregation.
-    """
+
+def _best_scored(hits: DataFrame, page: Page | None) -> DataFrame:
+    best = paged(hits, page, F.desc("score"), F.col("id")).withColumn("relevance", logistic(F.col("score")))
+    return best if page is None else best.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1 + F.lit(page.offset))
+
+
+def _asked(text: str, fields: Sequence[str], request: Request) -> list[str]:
     if not text or not text.strip():
         raise EmptyText("query text")
     if not fields or len(set(fields)) != len(fields):
@@ -170,6 +184,16 @@ def bm25(docs: DataFrame, text: str, fields: Sequence[str] = ("content",), reque
     terms = query_terms(text)
     if not terms:
         raise EmptyText("query text has no words")
+    return terms
+
+
+def bm25(docs: DataFrame, text: str, fields: Sequence[str] = ("content",), request: Request = Request()) -> DataFrame:
+    """(id, score, relevance, position): documents by BM25 (k1 1.2, b 0.75), the best field counting.
+
+    Statistics cover all documents, the filter only decides which may be found. This is the way for a single query
+    over documents without an index: one pass that counts the query's terms. ``Postings`` serve many queries.
+    """
+    terms = _asked(text, fields, request)
     # Words in a projection of their own: inside the counting lambda they would be cut out once for each term.
     words = docs.select("*", *[tokenised(F.coalesce(F.col(f), F.lit(""))).alias(f"_w{n}") for n, f in enumerate(fields)])
     wanted = F.array(*[F.lit(t) for t in terms])
@@ -184,20 +208,58 @@ def bm25(docs: DataFrame, text: str, fields: Sequence[str] = ("content",), reque
         *[F.avg(f"_len{n}").alias(f"avg{n}") for n in range(len(fields))],
         *[F.sum((F.col(f"_tf{n}")[k] > 0).cast("long")).alias(f"df{n}_{k}") for n in range(len(fields)) for k in range(len(terms))],
     ).first()
-    scores = []
-    for n in range(len(fields)):
-        parts = []
-        for k in range(len(terms)):
-            df = stats[f"df{n}_{k}"] or 0
-            idf = math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
-            tf = F.col(f"_tf{n}")[k].cast("double")
-            parts.append(F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"_len{n}") / F.lit(stats[f"avg{n}"] or 1.0))))
-        scores.append(sum(parts[1:], parts[0]))
-    score = scores[0] if len(scores) == 1 else F.greatest(*scores)
-    hits = filtered(counted, request).select("id", F.round(score, DIGITS).alias("score")).filter(F.col("score") > 0)
-    best = paged(hits, request.page, F.desc("score"), F.col("id"))
-    best = best.withColumn("relevance", logistic(F.col("score")))
-    return best if request.page is None else best.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1 + F.lit(request.page.offset))
+    with_term = {(n, k): stats[f"df{n}_{k}"] or 0 for n in range(len(fields)) for k in range(len(terms))}
+    score = _bm25_score(terms, len(fields), stats["n"], [stats[f"avg{n}"] for n in range(len(fields))], with_term, lambda n, k: F.col(f"_tf{n}")[k], lambda n: F.col(f"_len{n}"))
+    return _best_scored(filtered(counted, request).select("id", score).filter(F.col("score") > 0), request.page)
+
+
+@dataclass(frozen=True)
+class Postings:
+    """An index of words for many BM25 queries: rows (field, term, id, tf, len) in folders by a hash of the term.
+
+    A query reads the folders of its terms only, and of those by the files' statistics the parts with its terms. The
+    rows of a common term lie in several files, so they are written and read by several tasks.
+    """
+
+    path: str
+    fields: tuple[str, ...]
+    docs: int
+    averages: tuple[float | None, ...]
+
+    BUCKETS, FILES = 32, 4
+
+    @classmethod
+    def build(cls, docs: DataFrame, fields: Sequence[str], path: str) -> Postings:
+        if not fields or len(set(fields)) != len(fields):
+            raise InvalidArgument("search fields must be there and different")
+        words = F.array(*[F.struct(F.lit(n).alias("field"), tokenised(F.coalesce(F.col(f), F.lit(""))).alias("words")) for n, f in enumerate(fields)])
+        cut = stored(docs.select("id", F.explode(words).alias("w")).select("id", "w.field", "w.words", F.size("w.words").alias("len")))
+        stats = {r["field"]: r for r in cut.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).collect()}
+        rows = cut.select("id", "field", "len", F.explode("words").alias("term")).groupBy("field", "term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int"))
+        spread = rows.repartition(cls.BUCKETS * cls.FILES, "bucket", F.pmod(F.hash("id"), F.lit(cls.FILES))).sortWithinPartitions("bucket", "field", "term")
+        spread.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+        return cls(path, tuple(fields), stats[0]["n"] if stats else 0, tuple(stats[n]["avg"] if n in stats else None for n in range(len(fields))))
+
+    def search(self, docs: DataFrame, text: str, request: Request = Request()) -> DataFrame:
+        """(id, score, relevance, position) as ``bm25`` gives over the documents the index was built from; ``docs`` is read for the filter only."""
+        terms = _asked(text, self.fields, request)
+        spark = docs.sparkSession
+        if not self.docs:
+            return _best_scored(docs.limit(0).select("id", F.lit(0.0).alias("score")), request.page)
+        folders = spark.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(self.BUCKETS)).cast("int") for t in terms])).first()[0]
+        hits = spark.read.parquet(self.path).filter(F.col("bucket").isin(sorted(set(folders))) & F.col("term").isin(terms))
+        counts = {(r["field"], terms.index(r["term"])): r["n"] for r in hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n")).collect()}
+        here = lambda n, k: (F.col("field") == n) & (F.col("term") == terms[k])
+        pairs = [(n, k) for n in range(len(self.fields)) for k in range(len(terms))]
+        by_id = hits.groupBy("id").agg(
+            *[F.coalesce(F.max(F.when(here(n, k), F.col("tf"))), F.lit(0)).alias(f"_tf{n}_{k}") for n, k in pairs],
+            *[F.coalesce(F.max(F.when(F.col("field") == n, F.col("len"))), F.lit(0)).alias(f"_len{n}") for n in range(len(self.fields))],
+        )
+        if not is_empty(request.bound()):
+            by_id = by_id.join(filtered(docs, request).select("id"), "id", "left_semi")
+        score = _bm25_score(terms, len(self.fields), self.docs, self.averages, counts, lambda n, k: F.col(f"_tf{n}_{k}"), lambda n: F.col(f"_len{n}"))
+        return _best_scored(by_id.select("id", score).filter(F.col("score") > 0), request.page)
 
 
 def tensor_search(records: DataFrame, query: list[list[float]], request: Request = Request(), column: str = "tensor") -> DataFrame:

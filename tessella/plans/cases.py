@@ -248,9 +248,18 @@ def tensor_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.search([list(probe[k : k + 16]) for k in range(0, 64, 16)], page=Page(20)).select("id", F.round("score", 5).alias("score"))
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    return LexicalIndex(tables.documents(spark, sf_dir, "content", "attributes"), ["content"], STANDARD).build(_path(spark))
+
+
 @query(Q._SQL["bm25_topk"])
 def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return LexicalIndex(tables.documents(spark, sf_dir), ["content"], STANDARD).search(Q._BM25, page=Page(25)).select("id", F.round("score", 6).alias("score"))
+    return _indexed(spark, sf_dir).search(Q._BM25, page=Page(25)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(Q._SQL["bm25_filtered"])
+def lexical_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir).search(Q._BM25, P.normalise(P.equal(_B, True)), Page(10, 5)).select("id", F.round("score", 6).alias("score"))
 
 
 @cases({"table name": "InvalidArgument", "schema": "InvalidArgument", "no fields": "InvalidArgument", "field twice": "InvalidArgument", "field name": "InvalidArgument", "nothing yet": "InvalidArgument", "batch twice": "InvalidArgument", "undeclared": "InvalidArgument", "no id": "MissingID", "no vector": "EmptyVector", "wrong kind": "InvalidArgument", "schema told": "ok", "late writer": "Unavailable", "none written": "0"})

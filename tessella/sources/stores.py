@@ -24,11 +24,12 @@ def _checked_schema(schema: Schema) -> Schema:
 
 @dataclass
 class LexicalIndex:
-    """Full-text search over chosen fields of a table."""
+    """Full-text search over chosen fields of a table. ``build`` writes postings, of which later searches read their terms only."""
 
     documents: DataFrame
     fields: Sequence[str]
     schema: Schema
+    postings: search.Postings | None = None
 
     def __post_init__(self) -> None:
         _checked_schema(self.schema)
@@ -37,7 +38,13 @@ class LexicalIndex:
         for f in self.fields:
             checked_name(f)
 
+    def build(self, path: str) -> LexicalIndex:
+        self.postings = search.Postings.build(self.documents, self.fields, path)
+        return self
+
     def search(self, text: str, filter: object = None, page: Page | None = None) -> DataFrame:
+        if self.postings is not None:
+            return self.postings.search(self.documents, text, search.Request(filter, page, self.schema))
         return search.bm25(self.documents, text, self.fields, search.Request(filter, page, self.schema))
 
 

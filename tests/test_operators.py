@@ -112,6 +112,21 @@ def test_lexical_and_tensor(spark):
     assert sorted(tuple(r) for r in first.collect()) == [("1", 0), ("2", 1)]
 
 
+def test_postings_rank_like_a_scan(spark, tmp_path):
+    rows = [(f"d{k}", " ".join(w for n, w in enumerate("red fox Red hen the the owl sees a fox".split()) if (k * 7 + n) % 3), None if k % 5 else "fox", (k,)) for k in range(40)] + [("n", None, None, None), ("e", "", "", (1,))]
+    docs = spark.createDataFrame(rows, "id string, content string, title string, attributes struct<age:long>")
+    schema = SchemaBuilder().int("age").build()
+    index = S.Postings.build(docs, ("content", "title"), f"file://{tmp_path}/p")
+    some = P.normalise(P.greater(schema.int("age"), 10))
+    for text in ("fox", "the RED fox", "unknown fox", "unknown"):
+        for request in (S.Request(schema=schema), S.Request(some, Page(7, 2), schema)):
+            want = [tuple(r) for r in S.bm25(docs, text, ("content", "title"), request).collect()]
+            assert [tuple(r) for r in index.search(docs, text, request).collect()] == want
+    assert S.Postings.build(docs.limit(0), ("content",), f"file://{tmp_path}/q").search(docs, "fox").count() == 0
+    plan = spark.read.parquet(index.path).filter("bucket = 1 AND term = 'fox'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,fox)" in plan
+
+
 def test_documents(spark):
     df = docs(spark, [("doc-1", "hello", "acme"), ("doc-2", "world", "globex"), ("doc-3", "", None)]).withColumn("relevance", F.lit(0.5))
     found = D.find_by_ids(df, ["doc-2", "none", "doc-1", "doc-2"]).collect()
