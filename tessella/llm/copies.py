@@ -347,21 +347,26 @@ def _roots(edges: DataFrame) -> DataFrame:
         labels = after.select("h", "root")
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """(keep_id, copy_id) for every record of ``docs`` (id, content, perhaps ingested_at) that has the same content as one of smaller id."""
+def copies(docs: DataFrame, lists: bool = True) -> DataFrame:
+    """(keep_id, copy_id) for every record of ``docs`` (id, content, perhaps ingested_at) that has the same content as one of smaller id.
+
+    Without ``lists`` all contents are prose.
+    """
     version = F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(0)) if "ingested_at" in docs.columns else F.lit(0)
     rows = docs.filter("id IS NOT NULL").select("id", version.cast("long").alias("version"), "content")
     hashed = stored(rows.mapInPandas(_hash_batches, "id string, version long, content string, h long, f long"))
     own = stored(hashed.groupBy("id").agg(F.max(F.struct("version", "h", "f")).alias("v")).select("id", "v.*").filter("h IS NOT NULL"))
+    if not lists:
+        own = own.withColumn("f", F.lit(None).cast("long"))
     hot = hot_keys(own, "h")
     groups = stored(own.groupBy("h").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "keep_id"))
     # Lists: of each stream that is one, its smallest id stands for it.
-    lists = own.filter("f IS NOT NULL").groupBy("f", "h").agg(F.min("id").alias("id"), F.max("version").alias("version"))
-    firsts = lists.groupBy("f").agg(F.min(F.struct("id", "h")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("f", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
-    lists = stored(skew_join(lists, firsts, "f", F.col("h")))
+    listed = own.filter("f IS NOT NULL").groupBy("f", "h").agg(F.min("id").alias("id"), F.max("version").alias("version"))
+    firsts = listed.groupBy("f").agg(F.min(F.struct("id", "h")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("f", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
+    listed = stored(skew_join(listed, firsts, "f", F.col("h")))
     members = skew_join(own, groups, "h", F.col("id"), hot=hot).select("id", "version", "h")
-    named = own.join(lists.select("id").distinct(), "id", "left_semi").select("id", "version", "h")
-    texts = stored(_contents(hashed, members.unionByName(named).distinct(), groups.select("h").unionAll(lists.select("h"))))
+    named = own.join(listed.select("id").distinct(), "id", "left_semi").select("id", "version", "h")
+    texts = stored(_contents(hashed, members.unionByName(named).distinct(), groups.select("h").unionAll(listed.select("h"))))
     kept = texts.join(groups.select(F.col("keep_id").alias("id"), "h"), ["id", "h"]).select("h", F.col("content").alias("kept"))
     rest = skew_join(texts, groups, "h", F.col("id"), hot=hot).filter("id != keep_id")
     checked = stored(skew_join(rest, kept, "h", F.col("id"), hot=hot).select("id", "h", "content", "kept").mapInPandas(_verify_batches, "id string, h long, digest string"))
@@ -369,7 +374,7 @@ def copies(docs: DataFrame) -> DataFrame:
     apart = checked.filter("digest IS NOT NULL")
     strays = apart.join(apart.groupBy("h", "digest").agg(F.min("id").alias("keep_id")), ["h", "digest"]).filter("id != keep_id").select("keep_id", F.col("id").alias("copy_id"))
     content_of = lambda name, as_: texts.select(F.col("id").alias(name), F.col("content").alias(as_))
-    met = lists.filter("id != first_id").join(content_of("id", "content"), "id")
+    met = listed.filter("id != first_id").join(content_of("id", "content"), "id")
     met = skew_join(met, content_of("first_id", "kept"), "first_id", F.col("id"))
     roots = _roots(met.select("h", "first_h", "content", "kept").mapInPandas(_verify_lists, "h long, first_h long"))
     # Every stream that has copies or is a list found elsewhere, with the smallest stream connected to it.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.copies(_chunks(spark, sf_dir))
 
 
+def p2_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies by their streams alone, where the order of fields counts like any other."""
+    return copies.copies(_chunks(spark, sf_dir), lists=False)
+
+
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.distinct_records(_chunks(spark, sf_dir))
 
@@ -110,7 +116,17 @@ WITH v AS (SELECT DISTINCT id, vector::DOUBLE[] AS vector FROM dense WHERE id IS
 near AS (SELECT x.id AS id, y.id AS other, round(list_cosine_similarity(x.vector, y.vector), 6) AS cosine FROM v x JOIN v y ON x.id <> y.id),
 best AS (SELECT id, other FROM near WHERE cosine >= 0.8 QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) <= 10)
 SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM best"""
+_PROSE = """
+WITH texts AS (SELECT id, any_value(content) AS content FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL GROUP BY id HAVING length(regexp_replace(any_value(content), '[\\t-\\r \\x{85}\\p{Z}]', '', 'g')) > 0),
+marks AS (SELECT id, k, substr(content, k, 1) AS c FROM (SELECT id, content, unnest(range(1, length(content) + 1)) AS k FROM texts)),
+kinds AS (SELECT id, k, c, regexp_matches(c, '^[\\t-\\r \\x{85}\\p{Z}]$') AS space, regexp_matches(c, '^[\\p{P}\\p{S}]$') AS mark, regexp_matches(c, '^\\p{Nd}$') AS digit FROM marks),
+beside AS (SELECT *, coalesce(lag(digit) OVER w, false) AS before, coalesce(lead(digit) OVER w, false) AS after, coalesce(lag(NOT space AND NOT mark) OVER w, false) AS word FROM kinds WINDOW w AS (PARTITION BY id ORDER BY k)),
+kept AS (SELECT id, k, replace(replace(lower(c), 'ß', 'ss'), 'ς', 'σ') AS c FROM beside WHERE NOT space AND (NOT mark OR after AND (before OR NOT word AND c IN ('+', '-', '−', '±', '＋', '－')))),
+streams AS (SELECT texts.id, coalesce(string_agg(c, '' ORDER BY k), '') AS stream FROM texts LEFT JOIN kept ON texts.id = kept.id GROUP BY texts.id),
+firsts AS (SELECT id, min(id) OVER (PARTITION BY stream) AS keep_id FROM streams)
+SELECT keep_id, id AS copy_id FROM firsts WHERE id <> keep_id"""
 _SQL = {
+    "p2_prose": _PROSE,
     "p6_classes": f"WITH {_CLASSES.strip()}",
     "p3_found": _NEAREST,
     "p4_found": f"WITH {_SCORED}, {_LEADERS} SELECT query_id, id FROM leaders",
@@ -118,6 +134,37 @@ _SQL = {
 }
 
 
+def _looks_sql() -> str:
+    """``text`` as it looks, by the look-alike table alone: what the operator's spellings must be equal under."""
+    single, several, unseen = {}, {}, []
+    for c in range(0xE1000):
+        ch = chr(c)
+        if c in lookalikes.table() or unicodedata.decomposition(ch) and not 0xAC00 <= c < 0xD7A4:
+            looks = lookalikes.plain(ch)
+            if not looks:
+                unseen.append(c)
+            elif looks != unicodedata.normalize("NFC", ch):
+                (single if len(looks) == 1 else several)[ch] = looks
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    ranges = [[unseen[0], unseen[0]]]
+    for c in unseen[1:]:
+        if c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    out = f"nfc_normalize(regexp_replace(text, '[{''.join(f'\\x{{{a:x}}}-\\x{{{b:x}}}' for a, b in ranges)}]', '', 'g'))"
+    for ch, looks in several.items():
+        if not 0xFB50 <= ord(ch) < 0xFF00:  # but for the hundreds of joined Arabic forms, which the tables don't hold
+            out = f"replace({out}, {quoted(ch)}, {quoted(looks)})"
+    return f"nfc_normalize(translate({out}, {quoted(''.join(single))}, {quoted(''.join(single.values()))}))"
+
+
+def _p9_sql() -> dict[str, str]:
+    looks = f"l AS MATERIALIZED (SELECT doc_id, text, {_looks_sql()} AS looks FROM documents)"
+    pairs = "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM l a JOIN l b ON a.looks = b.looks AND a.doc_id < b.doc_id AND a.text <> b.text WHERE regexp_replace(a.looks, '[\\t-\\r ]', '', 'g') <> ''"
+    return {"p9_found": f"WITH {looks} {pairs}"}
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can say; the other operators are tested against brute force, round trips or the public tokenizer."""
-    return dict(_SQL)
+    return _SQL | _p9_sql()
