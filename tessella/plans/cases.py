@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,7 +23,7 @@ from tessella.operators.doubles import StoredSearcher
 from tessella.operators.embedding import Provider, embedded, embedded_inputs
 from tessella.plans import queries as Q
 from tessella.resilience import map_ordered, retrying, with_fallback
-from tessella.runtime import local_rows, shared_folder
+from tessella.runtime import local_rows, new_folder
 from tessella.schema import STANDARD, Schema, SchemaBuilder, checked_name, is_identifier, normalised
 from tessella.sources import tables
 from tessella.sources.stores import DocumentStore, GraphStore, LexicalIndex
@@ -214,12 +213,8 @@ def predicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Stores
 
 
-def _path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/tessella-store-{uuid.uuid4().hex}"
-
-
 def _stored_records(spark: SparkSession, sf_dir: str) -> tuple[DocumentStore, DataFrame]:
-    store = DocumentStore(spark, _path(spark), "docs", STANDARD)
+    store = DocumentStore(spark, new_folder(spark), "docs", STANDARD)
     rows = tables.dense(spark, sf_dir).filter(F.size("vector") > 0)
     store.upsert(rows)
     store.upsert(rows.filter("attributes.active").withColumn("content", F.concat("content", F.lit(" (new)"))))
@@ -241,7 +236,7 @@ def store_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(Q._SQL["tensor_maxsim"])
 def tensor_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = DocumentStore(spark, _path(spark), "tensors", STANDARD, "tensor")
+    store = DocumentStore(spark, new_folder(spark), "tensors", STANDARD, "tensor")
     rows = tables.table(spark, sf_dir, "embeddings")
     store.upsert(rows.select(F.col("vec_id").cast("string").alias("id"), F.lit("").alias("content"), F.lit(None).cast(STANDARD.struct()).alias("attributes"), search.as_tensor(F.col("embedding"), 4, 16).cast("array<array<float>>").alias("tensor")))
     probe = rows.filter("vec_id = 7").select("embedding").first()[0]
@@ -249,7 +244,7 @@ def tensor_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> LexicalIndex:
-    return LexicalIndex(tables.documents(spark, sf_dir, "content", "attributes"), ["content"], STANDARD).build(_path(spark))
+    return LexicalIndex(tables.documents(spark, sf_dir, "content", "attributes"), ["content"], STANDARD).build(new_folder(spark))
 
 
 @query(Q._SQL["bm25_topk"])
@@ -266,7 +261,7 @@ def lexical_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_checks(spark: SparkSession, sf_dir: str) -> dict:
     row = {"id": "a", "content": "x", "vector": [1.0]}
     docs = spark.createDataFrame([("a", "x")], "id string, content string")
-    store, table = DocumentStore(spark, _path(spark), "docs", STANDARD), VersionedTable(spark, _path(spark))
+    store, table = DocumentStore(spark, new_folder(spark), "docs", STANDARD), VersionedTable(spark, new_folder(spark))
     table.write(docs)
     return {
         "table name": lambda: DocumentStore(spark, "x", "bad-name", STANDARD).name, "schema": lambda: DocumentStore(spark, "x", "docs", Schema()).name, "no fields": lambda: LexicalIndex(docs, [], STANDARD).fields, "field twice": lambda: LexicalIndex(docs, ["a", "a"], STANDARD).fields,
@@ -317,7 +312,7 @@ def empty_results(spark: SparkSession, sf_dir: str) -> dict:
     SELECT 'node' AS what, id, CASE WHEN id = 'region-1' THEN 'new' ELSE 'old' END AS content FROM v UNION ALL SELECT 'edge', s || '>' || t, kind FROM edges WHERE t = 'region-1'"""
 )
 def graph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = GraphStore(spark, _path(spark), graphs.GraphSchema(Q._NODE_SCHEMA, Q._EDGE_SCHEMA))
+    store = GraphStore(spark, new_folder(spark), graphs.GraphSchema(Q._NODE_SCHEMA, Q._EDGE_SCHEMA))
     g = Q._customers(spark, sf_dir)
     store.upsert(graphs.Graph(g.nodes.withColumn("content", F.lit("old")), g.edges))
     # A region and its nations again, with the edges between them: all are replaced in their places.

@@ -40,16 +40,39 @@ def local_rows(spark: SparkSession, **columns: list) -> DataFrame:
     return spark.createDataFrame(pa.table(columns))
 
 
-def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and goes when the application ends."""
-    spark = df.sparkSession
+#: Folders that ``new_folder`` named and nobody removed yet.
+_named: list[str] = []
+
+
+def _on_disk(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A name in the shared folder for what need not outlive the application: it goes at ``release`` or when the application ends."""
     path = f"{shared_folder(spark)}/tessella-{uuid.uuid4().hex}"
+    files, where = _on_disk(spark, path)
+    files.deleteOnExit(where)
+    _named.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables written so far; returns how many went. Results built on them must have been read or saved."""
+    gone = 0
+    while _named:
+        files, where = _on_disk(spark, _named.pop())
+        gone += bool(files.delete(where, True))
+    return gone
+
+
+def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    path = new_folder(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    # Results may be read as long as the application runs; after that, nothing needs the folder.
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def latest(df: DataFrame, key: list[str], payload: list[str], version: str = "ingested_at") -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -20,6 +21,7 @@ from tessella.operators import ranking as R
 from tessella.operators import search as S
 from tessella.operators import stores as D
 from tessella.resilience import map_ordered, retrying, with_fallback
+from tessella.runtime import release, stored
 from tessella.schema import STANDARD, Schema, SchemaBuilder
 from tessella.sources.stores import DocumentStore, GraphStore
 from tessella.sources.tables import VersionedTable, attribute_problem, decoded_attributes, upserted
@@ -430,6 +432,13 @@ def test_embedding_columns(spark):
     assert got["2"] is None and len(got["1"]) == len(got["3"]) == 8 and abs(sum(x * x for x in got["1"]) - 1) < 1e-6
 
 
+def test_intermediate_tables_go_on_release(spark):
+    kept = stored(spark.range(3))
+    folder = kept.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert kept.count() == 3 and os.path.isdir(folder)
+    assert release(spark) >= 1 and not os.path.exists(folder) and release(spark) == 0
+
+
 def test_resilience_and_traces(spark):
     calls = []
 
