@@ -5,11 +5,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import copies, flows, lookalikes, near, neighbours, packing, sentences, splitting, tokens
-from tessella.llm.common import records
+from tessella.llm.common import WS, records
+from tessella.runtime import stored
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,18 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/chunks.parquet").select("id", "content", "ingested_at")
 
 
+def p1_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many characters that aren't white space a record's sentences hold: all that it has."""
+    docs = stored(records(spark, sf_dir, "docstore", "content"))
+    parts = sentences.sentences(docs).join(docs, "id")
+    held = F.substring("content", (F.col("start_at") + 1).cast("int"), (F.col("end_at") - F.col("start_at")).cast("int"))
+    return parts.groupBy("id").agg(F.sum(_visible(held)).alias("covered"))
+
+
+def _visible(text: Column) -> Column:
+    return F.char_length(F.regexp_replace(text, f"[{WS}]", "")).cast("long")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.copies(_chunks(spark, sf_dir))
 
@@ -54,6 +67,13 @@ def p5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_texts(records(spark, sf_dir, "docstore", "content"))
 
 
+def p5_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many characters that aren't white space a record's pieces hold without their overlaps, and whether all are within the limit."""
+    pieces = splitting.split_texts(records(spark, sf_dir, "docstore", "content"))
+    own = F.substring("content", F.col("overlap") + 1, F.lit(splitting.LIMIT))
+    return pieces.groupBy(F.col("source_id").alias("id")).agg(F.sum(_visible(own)).alias("covered"), (F.max(F.char_length("content")) <= splitting.LIMIT).alias("fits"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, chunks = (spark.read.parquet(f"{sf_dir}/{t}.parquet").select("id", "content") for t in ("docstore", "chunks"))
     return near.near_duplicates(docs).unionAll(near.near_duplicates(chunks, without_copies=True))
@@ -68,6 +88,22 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the ids stand for."""
+    return tokens.decoded(tokens.encoded(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def p8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document's pieces hold all its tokens once, in full pieces and a rest, and lie in containers that aren't too full."""
+    counts = stored(tokens.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    packed = stored(packing.containers(counts))
+    fill = packed.groupBy("container").agg(F.sum("size").alias("fill"))
+    parts = packed.join(fill, "container").join(counts, "doc_id")
+    last = F.col("start") + F.col("size") == F.col("n_tokens")
+    good = (F.sum("size") == F.max("n_tokens")) & (F.min("start") == 0) & (F.count_distinct("start") == F.count(F.lit(1))) & F.bool_and(last | (F.col("size") == packing.CAPACITY)) & (F.max("fill") <= packing.CAPACITY)
+    return parts.groupBy("doc_id").agg(good.alias("whole"))
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(tokens.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
@@ -125,7 +161,13 @@ kept AS (SELECT id, k, replace(replace(lower(c), 'ß', 'ss'), 'ς', 'σ') AS c F
 streams AS (SELECT texts.id, coalesce(string_agg(c, '' ORDER BY k), '') AS stream FROM texts LEFT JOIN kept ON texts.id = kept.id GROUP BY texts.id),
 firsts AS (SELECT id, min(id) OVER (PARTITION BY stream) AS keep_id FROM streams)
 SELECT keep_id, id AS copy_id FROM firsts WHERE id <> keep_id"""
+_WHITE = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_VISIBLE = f"SELECT id, length(regexp_replace(any_value(content), '{_WHITE}', '', 'g')) AS covered, true AS fits FROM docstore WHERE id IS NOT NULL AND content IS NOT NULL GROUP BY id HAVING covered > 0"
 _SQL = {
+    "p1_covered": f"SELECT id, covered FROM ({_VISIBLE})",
+    "p5_rebuilt": _VISIBLE,
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_whole": "SELECT doc_id, true AS whole FROM documents",
     "p2_prose": _PROSE,
     "p6_classes": f"WITH {_CLASSES.strip()}",
     "p3_found": _NEAREST,

@@ -96,11 +96,12 @@ def _cut_rows(key: str, text: str, has: Callable[[str], bool]) -> list[tuple[str
     return [(key, c) for c in cuts(text, lambda: sentence_spans(text, has))]
 
 
-def _piece_rows(key: str, text: str, has: Callable[[str], bool]) -> list[tuple[str, int, str, int]]:
+def _piece_rows(key: str, text: str, has: Callable[[str], bool]) -> list[tuple[str, int, str, int, int]]:
     at = cuts(text, lambda: sentence_spans(text, has))
     start, stop = len(text) - len(text.lstrip(WS)), len(text.rstrip(WS))
-    begins = [start, *[c - OVERLAP for c in at]]
-    return [(key, k, text[b : (at[k] if k < len(at) else stop)].rstrip(WS), b) for k, b in enumerate(begins)]
+    # A cut near the beginning has less before it to repeat.
+    begins = [start, *[max(start, c - OVERLAP) for c in at]]
+    return [(key, k, text[b : (at[k] if k < len(at) else stop)].rstrip(WS), b, at[k - 1] - b if k else 0) for k, b in enumerate(begins)]
 
 
 def _applied(docs: DataFrame, rows: Callable, schema: str, limit: int) -> DataFrame:
@@ -114,5 +115,8 @@ def cut_points(docs: DataFrame, limit: int = MODEL_ROWS) -> DataFrame:
 
 
 def split_texts(docs: DataFrame, limit: int = MODEL_ROWS) -> DataFrame:
-    """The pieces as chunks: (source_id, index, content, start_at); a text that fits is its only piece."""
-    return _applied(docs, _piece_rows, "source_id string, index int, content string, start_at long", limit)
+    """The pieces as chunks: (source_id, index, content, start_at, overlap); a text that fits is its only piece.
+
+    ``overlap`` is how many code points at a piece's beginning are the end of the one before.
+    """
+    return _applied(docs, _piece_rows, "source_id string, index int, content string, start_at long, overlap int", limit)

@@ -141,6 +141,9 @@ def test_cuts_follow_the_rule(text, limit, overlap):
 def test_splitting(spark):
     assert splitting.cuts("x" * 5000, list) == [1200, 2280, 3360, 4440]
     assert len(splitting.cuts("word " * 200_000, list)) > 900
+    early = spark.createDataFrame([("e", " Title\n\n" + "One two. " * 300)], ROWS)
+    first, second = splitting.split_texts(early).orderBy("index").limit(2).collect()
+    assert first.content == "Title" and (second.start_at, second.overlap) == (1, 7) and second.content.startswith("Title\n\nOne two.")
     docs = spark.createDataFrame([("a", "One two. " * 300), ("b", "short"), ("n", None), ("w", "  "), ("a2", "y" * 1300)], ROWS)
     pieces = splitting.split_texts(docs).collect()
     assert all(len(p.content) <= 1200 for p in pieces)
