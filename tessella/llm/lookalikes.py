@@ -88,21 +88,23 @@ def plain(text: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _touched() -> regex.Pattern:
-    """Finds what the table changes, composed characters of such included, and scripts whose words may hold Latin look-alikes."""
-    t = table()
-    codes = [c for c in range(sys.maxunicode + 1) if c in t or unicodedata.decomposition(chr(c)) and any(ord(x) in t for x in unicodedata.normalize("NFD", chr(c)))]
-    ranges, first = [], codes[0]
-    for c, after in zip(codes, [*codes[1:], None]):
-        if after != c + 1:
-            ranges.append(f"\\U{first:08x}-\\U{c:08x}")
-            first = after
-    return regex.compile(rf"[{''.join(ranges)}\p{{Cyrillic}}\p{{Greek}}\p{{Armenian}}]")
+def _touched() -> np.ndarray:
+    """Which code points the table changes, composed characters of such included, or belong to scripts whose words may hold Latin look-alikes."""
+    t, out = table(), np.zeros(sys.maxunicode + 1, dtype=bool)
+    out[list(t)] = True
+    for a, b in ((0x370, 0x590), (0x1C80, 0x1C90), (0x1F00, 0x2000), (0x2DE0, 0x2E00), (0xA640, 0xA6A0)):  # Greek, Cyrillic, Armenian and more of them
+        out[a:b] = True
+    for c in range(len(out)):
+        if unicodedata.decomposition(chr(c)) and any(ord(x) in t for x in unicodedata.normalize("NFD", chr(c))):
+            out[c] = True
+    return out
 
 
 def untouched(text: str) -> bool:
     """Whether a text is its own consistent form whatever the vocabulary."""
-    return (text.isascii() or unicodedata.is_normalized("NFC", text)) and not _touched().search(text)
+    if text.isascii():
+        return not _CONTROLS.search(text)
+    return not _touched()[code_points(text)].any() and unicodedata.is_normalized("NFC", text)
 
 
 @lru_cache(maxsize=1)
