@@ -215,6 +215,11 @@ def fields(text: str) -> list[tuple[str, str]] | None:
         return tags
     best: list[tuple[str, str]] | None = None
     for cut in ("\n", ";", "|", ",", "&"):
+        # Most prose shows by what stands before the first cut; only likely lists are taken apart.
+        first = re.search(r"[\r\n]" if cut == "\n" else re.escape(cut), t)
+        head = t[: first.start()].strip(WS) if first else ""
+        if not first or head and not (_PART.match(head) or cut == "\n" and _ROW.match(head)):
+            continue
         parts = [p for p in (_BROKEN.split(t) if cut == "\n" else t.split(cut)) if p.strip(WS)]
         if len(parts) < max(MIN_FIELDS, len(best or ()) + 1):
             continue
