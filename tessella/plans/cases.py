@@ -395,6 +395,10 @@ def semantic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KIND = "length(part) % 3"
 
 
+def _remainders(texts: list[str]) -> list[list[float]]:
+    return [[float(len(t) % 3 == k) for k in range(3)] for t in texts]
+
+
 @query(
     f"""WITH {Q._DOCS}, s AS (SELECT id, {Q._SENTENCES} AS parts FROM docs WHERE {Q._SOLID}), e AS (SELECT id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM s),
     c AS (SELECT *, CASE WHEN {_KIND} IS DISTINCT FROM lag({_KIND}) OVER (PARTITION BY id ORDER BY k) THEN 1 ELSE 0 END AS cut FROM e),
@@ -402,11 +406,20 @@ _KIND = "length(part) % 3"
 )
 def chunk_semantic_plugins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semantic chunks with a segmenter and an embedder of one's own: a sentence's vector tells its length's remainder by three."""
+    chunks = chunking.chunk_semantic(tables.documents(spark, sf_dir), _remainders, 0.5, 1, chunking.sentences)
+    return chunks.select("source_id", "index", "content")
 
-    def embed(texts: list[str]) -> list[list[float]]:
-        return [[float(len(t) % 3 == k) for k in range(3)] for t in texts]
 
-    chunks = chunking.chunk_semantic(tables.documents(spark, sf_dir), embed, 0.5, 1, chunking.sentences)
+@query(
+    f"""WITH RECURSIVE {Q._DOCS}, s AS (SELECT id, {Q._SENTENCES} AS parts FROM docs WHERE {Q._SOLID}), e AS MATERIALIZED (SELECT id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM s),
+    n AS MATERIALIZED (SELECT *, {_KIND} IS DISTINCT FROM lag({_KIND}) OVER (PARTITION BY id ORDER BY k) AS other FROM e),
+    g AS (SELECT id, k, part, 1 AS held, 0 AS grp FROM n WHERE k = 1 UNION ALL
+          SELECT n.id, n.k, n.part, CASE WHEN n.other AND g.held >= 2 THEN 1 ELSE g.held + 1 END, g.grp + CASE WHEN n.other AND g.held >= 2 THEN 1 ELSE 0 END FROM g JOIN n ON n.id = g.id AND n.k = g.k + 1)
+    SELECT id AS source_id, CAST(grp AS INTEGER) AS index, string_agg(part, ' ' ORDER BY k) AS content FROM g GROUP BY id, grp"""
+)
+def chunk_semantic_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with at least two sentences before a cut."""
+    chunks = chunking.chunk_semantic(tables.documents(spark, sf_dir), _remainders, 0.5, 2)
     return chunks.select("source_id", "index", "content")
 
 
