@@ -40,6 +40,7 @@ _CLOSERS = "”“»›」』)）]】》\"＂'’"
 _STRONG = "!?！？。｡؟।॥‽⁇⁈⁉;"
 _STOPS = ".．…" + _STRONG
 _MARK = re.compile("[" + re.escape("".join(_PAIRS) + _STOPS + ";") + "]")
+_PAIRED = re.compile("[" + re.escape("".join(_PAIRS) + _CLOSERS) + "]")
 _RUN = re.compile(f"[{re.escape(_STOPS)}]+(?:[{WS}]*[!?！？]+)*")
 _INNER_STOPS = tuple(_STOPS)
 _INNER = frozenset(WS + _STOPS + _CLOSERS + _OPENERS + ";")  # behind one of these the word before a period may begin
@@ -97,9 +98,8 @@ def language(block: str, fallback: str = "en") -> str:
     elif not any(map(str.isalpha, block)):
         return fallback
     votes: Counter = Counter()
-    for w in block.lower().split():
-        if w in _WORDS_OF:
-            votes.update(_WORDS_OF[w])
+    for w in [w for w in block.lower().split() if w in _WORDS_OF]:
+        votes.update(_WORDS_OF[w])
     if not votes:
         return fallback if fallback in _FUNCTION_WORDS else "en"
     return max(votes, key=lambda k: (votes[k], k == fallback, k))
@@ -253,16 +253,16 @@ def _matched(block: str) -> dict[int, int]:
     """Offsets of openers and of what closes them; what has no partner is left out."""
     spans: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
-    for k, c in enumerate(block):
-        if c in _PAIRS or c in _CLOSERS:
-            for depth in range(len(stack) - 1, -1, -1):
-                if c in _PAIRS[stack[depth][0]]:
-                    spans[stack[depth][1]] = k
-                    del stack[depth:]
-                    break
-            else:
-                if c in _PAIRS:
-                    stack.append((c, k))
+    for m in _PAIRED.finditer(block):
+        k, c = m.start(), m.group()
+        for depth in range(len(stack) - 1, -1, -1):
+            if c in _PAIRS[stack[depth][0]]:
+                spans[stack[depth][1]] = k
+                del stack[depth:]
+                break
+        else:
+            if c in _PAIRS:
+                stack.append((c, k))
     return spans
 
 
@@ -275,8 +275,8 @@ def _starts_low(block: str, k: int) -> bool:
 def segment_block(block: str, lang: str, has: Callable[[str], bool]) -> list[int]:
     """Offsets at which the sentences of a block end."""
     n, ends, begin, at = len(block), [], 0, 0
-    spans = _matched(block) if any(c in block for c in _PAIRS) else {}
-    gaps = [m.start() for m in _THAI_GAP.finditer(block)] if "฀" <= max(block) else []
+    spans = _matched(block)
+    gaps = [m.start() for m in _THAI_GAP.finditer(block)] if not block.isascii() and "฀" <= max(block) else []
 
     def after(k: int) -> int:
         m = _SPACE.match(block, k)
