@@ -339,7 +339,12 @@ def _contents(hashed: DataFrame, ids: DataFrame, hashes: DataFrame) -> DataFrame
 
 
 def _roots(edges: DataFrame) -> DataFrame:
-    """(h, root): for each hash at an edge (h, first_h) the smallest hash of those it is connected to."""
+    """(h, root): for each hash at an edge (h, first_h) one hash that all connected to it have in common."""
+    edges = stored(edges)
+    # A stream is mostly in one list's group: then its edges are stars, whose centres are the roots.
+    several = edges.groupBy("h").agg(F.count_distinct("first_h").alias("n")).filter("n > 1").select("h")
+    if several.unionAll(edges.select("h").join(edges.select(F.col("first_h").alias("h")), "h", "left_semi")).isEmpty():
+        return edges.select("h", F.col("first_h").alias("root")).unionAll(edges.select("first_h", "first_h")).distinct()
     both = stored(edges.unionAll(edges.select(F.col("first_h").alias("h"), F.col("h").alias("first_h"))).distinct())
     labels = both.groupBy("h").agg(F.least("h", F.min("first_h")).alias("root"))
     while True:
@@ -368,7 +373,7 @@ def copies(docs: DataFrame, lists: bool = True) -> DataFrame:
     # Lists: of each stream that is one, its smallest id stands for it.
     listed = own.filter("f IS NOT NULL").groupBy("f", "h").agg(F.min("id").alias("id"), F.max("version").alias("version"))
     firsts = listed.groupBy("f").agg(F.min(F.struct("id", "h")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("f", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"))
-    listed = stored(skew_join(listed, firsts, "f", F.col("h")))
+    listed = stored(skew_join(listed, firsts, "f", F.col("h"), hot=hot_keys(own, "f")))
     members = skew_join(own, groups, "h", F.col("id"), hot=hot).select("id", "version", "h")
     named = own.join(listed.select("id").distinct(), "id", "left_semi").select("id", "version", "h")
     texts = stored(_contents(hashed, members.unionByName(named).distinct(), groups.select("h").unionAll(listed.select("h"))))
@@ -380,7 +385,7 @@ def copies(docs: DataFrame, lists: bool = True) -> DataFrame:
     strays = apart.join(apart.groupBy("h", "digest").agg(F.min("id").alias("keep_id")), ["h", "digest"]).filter("id != keep_id").select("keep_id", F.col("id").alias("copy_id"))
     content_of = lambda name, as_: texts.select(F.col("id").alias(name), F.col("content").alias(as_))
     met = listed.filter("id != first_id").join(content_of("id", "content"), "id")
-    met = skew_join(met, content_of("first_id", "kept"), "first_id", F.col("id"))
+    met = skew_join(met, content_of("first_id", "kept"), "first_id", F.col("id"), hot=hot_keys(listed, "first_id"))
     roots = _roots(met.select("h", "first_h", "content", "kept").mapInPandas(_verify_lists, "h long, first_h long"))
     # Every stream that has copies or is a list found elsewhere, with the smallest stream connected to it.
     streams = groups.select("h").unionAll(roots.select("h")).distinct().join(roots, "h", "left").select("h", F.coalesce("root", "h").alias("root"))
