@@ -47,6 +47,8 @@ _CONFUSED = {"LATIN", "CYRILLIC", "GREEK", "ARMENIAN"}
 _CONTROLS = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 #: Most words whose canonical spelling is sent to every task; more are joined to the texts' own words.
 WORDS = 200_000
+#: Rows of texts' own words that are put out at once.
+ASKED = 100_000
 #: Words that share a trie.
 TRIE_WORDS = 50_000
 
@@ -275,6 +277,23 @@ def rewritten(text: str, canonical: dict[str, str]) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
+def _own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(_t, word) of the words whose canonical spelling may be another; at most ASKED rows and the words of one text at once."""
+    for pdf in batches:
+        owners, own = [], []
+        for h, t in zip(pdf["_t"], strings(pdf["text"])):
+            if not t or untouched(t):
+                continue
+            # A word in ASCII without controls is its own canonical spelling.
+            asked = {w for w in (t[a:b] for a, b in words(t)) if not (w.isascii() and w.isprintable())}
+            owners += [h] * len(asked)
+            own += asked
+            while len(own) >= ASKED:
+                yield pd.DataFrame({"_t": owners[:ASKED], "word": own[:ASKED]})
+                del owners[:ASKED], own[:ASKED]
+        yield pd.DataFrame({"_t": pd.array(owners, dtype="int64"), "word": pd.array(own, dtype=object)})
+
+
 def normalised(docs: DataFrame, key: str = "doc_id", limit: int = WORDS) -> DataFrame:
     """(key, text, canonical) of each row of ``docs``; texts are equal in ``canonical`` if and only if they look the same."""
     kind = docs.schema[key].dataType.simpleString()
@@ -291,11 +310,7 @@ def normalised(docs: DataFrame, key: str = "doc_id", limit: int = WORDS) -> Data
 
         return docs.mapInPandas(run, schema)
 
-    def own_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(t, w) for t in strings(pdf["text"]) if t for w in {t[a:b] for a, b in words(t)}], columns=["text", "word"])
-
-    asked = docs.select("text").distinct().mapInPandas(own_words, "text string, word string").select(F.xxhash64("text").alias("_t"), "word").distinct()
+    asked = docs.select(F.xxhash64("text").alias("_t"), "text").mapInPandas(_own_words, "_t long, word string").distinct()
     pairs = asked.join(known, "word").groupBy("_t").agg(F.collect_list(F.struct("word", "canonical")).alias("_words"))
 
     def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -298,3 +298,16 @@ def test_same_looking(spark):
     forms = {r.doc_id: r.canonical for r in lookalikes.normalised(docs).collect()}
     assert forms[1] == forms[9] == "The cat" and forms[5] is None and forms[11] == "сон"
     assert lookalikes.same_looking(docs.limit(0)).count() == 0
+
+
+def test_long_texts_ask_for_their_words_alone(spark, monkeypatch):
+    # Each of 30,000 words once came with its text of 450 kB: 13 GB from one row.
+    words = [f"слово{k}" for k in range(30_000)]
+    rows = [(1, " ".join([*words, "café", "plain"])), (2, " ".join([*words[:-1], "сло​во29999", "café", "plain"])), (3, "ascii only"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r) for r in lookalikes.same_looking(docs, limit=0).collect()] == [(1, 2)]
+    monkeypatch.setattr(lookalikes, "ASKED", 1_000)
+    frames = list(lookalikes._own_words([pd.DataFrame({"_t": [1, 2, 3, 4, 5], "text": [t for _, t in rows]})]))
+    assert max(map(len, frames)) <= 1_000
+    got = pd.concat(frames)
+    assert set(got["word"][got["_t"] == 1]) == {*words, "café"} and set(got["_t"]) == {1, 2}
