@@ -7,13 +7,16 @@ bits follows the band a text's size lies in, and wider sketches fold onto narrow
 Candidates come from joining blocks of a second sketch. Plain pigeonhole blocks can't be used at this
 similarity: with up to 35 % of the tokens differing, blocks that must not all differ would hold fewer
 than three tokens each and join nearly everything. So each block XORs the least tokens of BLOCK of the
-BINS bins of a round, which makes two blocks equal with probability J^BLOCK whatever the sizes; with
-ROUNDS rounds a pair at J = 0.70 is missed once in 1,800, one at 0.75 once in 120,000. Candidates pass
-the sizes, then the Hamming bound of the sketches (both exact), then the true similarity.
+BINS bins of a round, which makes two blocks equal with probability J^BLOCK whatever the sizes. Texts of
+one language share blocks by chance, in numbers that grow with the square of the table. So each entry
+carries its round's mark, a bit of the least token of each of MARKED bins; texts at J = 0.30 mostly differ
+in over MARKS_APART bits, and such pairs go where the blocks are joined. By simulation of independent bins,
+a pair at J = 0.70 is missed in all ROUNDS rounds once in 2,300, one at 0.75 once in 500,000. Candidates
+pass the sizes, then the Hamming bound of the sketches (both exact), then the true similarity.
 
 ``exact=True`` finds candidates without any chance of a miss: two sets of this similarity share one of
 the first n - ceil(SIMILARITY·n) + 1 tokens of each in any common order, so these prefixes, rarest first, are
-joined instead of blocks. It costs some ninety entries and more a text, where blocks cost sixty.
+joined instead of blocks, without marks. It costs some ninety entries and more a text, where blocks cost 72.
 
 Texts of equal letters form one class; only one row per class and task enters the join, so a text that
 a third of all rows share costs no more than any other. A block that more than RUN_LIMIT classes share is
@@ -41,15 +44,16 @@ from tessella.llm.copies import hash_texts
 from tessella.runtime import hot_keys, skew_join, stored
 
 SIMILARITY, LEAST, RUN = 0.70, 220, 5
-BLOCK, BINS, ROUNDS = 6, 72, 5
+BLOCK, BINS, ROUNDS = 6, 72, 6
 BLOCKS = BINS // BLOCK * ROUNDS
+#: Bins of a round that give a bit of its mark each, and bits of two marks that may differ.
+MARKED, MARKS_APART = 64, 13
 #: Block entries that are joined at once, pairs that are held at once, classes of a block from which it is cut into tiles, classes of a tile's side.
 ENTRIES, PAIRS, RUN_LIMIT, TILE = 400_000, 2_000_000, 1_000, 2_000
 #: Counters that order tokens by how rare they are, where prefixes are joined.
 COUNTERS = 1 << 20
 #: Ids of linked texts up to which they are sent to every task, to leave unlinked texts where they are; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
-_LOW40 = np.uint64((1 << 40) - 1)
 #: Steps a factor e of a set's size has in a class's short code, whose upper ten bits they are; the rest is its hash.
 _STEPS, _HASH_BITS = 32, 30
 _BATCH = 1000
@@ -122,9 +126,14 @@ def most_difference(a: int, b: int, similarity: float = SIMILARITY) -> int:
 
 def block_sketches(sets: list[np.ndarray]) -> np.ndarray:
     """One row per set of BLOCKS 64-bit blocks."""
+    return _sketched(sets)[0]
+
+
+def _sketched(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One row per set of BLOCKS 64-bit blocks, and one of the ROUNDS 64-bit marks."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     flat = np.concatenate(sets)
-    out = []
+    out, marks = [], []
     none = np.uint64(np.iinfo(np.uint64).max)
     for r in range(ROUNDS):
         x = mixed(flat ^ np.uint64(0x9E3779B97F4A7C15 * (r + 1) & (1 << 64) - 1))
@@ -134,7 +143,9 @@ def block_sketches(sets: list[np.ndarray]) -> np.ndarray:
         least = mixed(least + np.tile(np.arange(BINS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), len(sets)))
         blocks = np.bitwise_xor.reduce(least.reshape(len(sets), BINS // BLOCK, BLOCK), axis=2)
         out.append(mixed(blocks + np.arange(r * 64 + 1, r * 64 + 1 + BINS // BLOCK, dtype=np.uint64)[None, :]))
-    return np.concatenate(out, axis=1)
+        bits = (least.reshape(len(sets), BINS)[:, :MARKED] >> np.uint64(63)).astype(np.uint8)
+        marks.append(np.packbits(bits, axis=1, bitorder="little").view("<u8"))
+    return np.concatenate(out, axis=1), np.concatenate(marks, axis=1)
 
 
 def _class_of(text: str) -> int:
@@ -158,7 +169,7 @@ def _taking_part(pdf: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
 
 
 def _members(prefix_of):
-    """Rows (id, class, code, size, sketch, blocks); only a class's first row in a task has blocks."""
+    """Rows (id, class, code, size, sketch, blocks, marks); only a class's first row in a task has blocks. Blocks take six bytes each; prefixes have no marks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -167,13 +178,16 @@ def _members(prefix_of):
                 sets, own = tokens(texts), [_class_of(t) for t in texts]
                 fresh = [k for k, c in enumerate(own) if c not in seen and not seen.add(c)]
                 blocks: list = [None] * len(own)
+                marks: list = [None] * len(own)
                 if fresh:
                     some = [sets[k] for k in fresh]
-                    for k, x in zip(fresh, block_sketches(some) if prefix_of is None else map(prefix_of, some)):
-                        blocks[k] = x.astype("<u8").tobytes()
+                    found, marked = _sketched(some) if prefix_of is None else (map(prefix_of, some), [b""] * len(some))
+                    for k, x, m in zip(fresh, found, marked):
+                        blocks[k] = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                        marks[k] = bytes(m)
                 if len(seen) > 2_000_000:
                     seen.clear()
-                yield pd.DataFrame({"id": ids, "class": own, "code": [short_code(c, len(s)) for c, s in zip(own, sets)], "size": [len(s) for s in sets], "sketch": [parity_sketch(s) for s in sets], "blocks": blocks})
+                yield pd.DataFrame({"id": ids, "class": own, "code": [short_code(c, len(s)) for c, s in zip(own, sets)], "size": [len(s) for s in sets], "sketch": [parity_sketch(s) for s in sets], "blocks": blocks, "marks": marks})
 
     return run
 
@@ -185,12 +199,20 @@ def _entries(parts: int):
         for pdf in batches:
             for at in range(0, len(pdf), _BATCH):
                 own = pdf.iloc[at : at + _BATCH]
-                blocks = np.frombuffer(b"".join(own["blocks"]), "<u8")
-                codes = np.repeat(own["code"].to_numpy(np.uint64), [len(x) // 8 for x in own["blocks"]])
-                part = (blocks >> np.uint64(40)) % np.uint64(parts)
-                # Five bytes of block and five of class an entry; the rest of the block is in the part's number.
+                wide = np.zeros((sum(map(len, own["blocks"])) // 6, 8), dtype=np.uint8)
+                wide[:, :6] = np.frombuffer(b"".join(own["blocks"]), np.uint8).reshape(-1, 6)
+                blocks, counts = wide.view("<u8").ravel(), [len(x) // 6 for x in own["blocks"]]
+                codes = np.repeat(own["code"].to_numpy(np.uint64), counts)
+                marks = np.zeros(len(blocks), dtype="<u8")
+                if any(map(len, own["marks"])):
+                    marks[:] = np.repeat(np.frombuffer(b"".join(own["marks"]), "<u8"), BINS // BLOCK)
+                part = (blocks >> np.uint64(24)) % np.uint64(parts)
+                # Five bytes of class, three of block and eight of mark an entry; of the rest of the block, the part's number is left.
                 order = np.argsort(part, kind="stable")
-                low = np.concatenate([(blocks[order] & _LOW40).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], codes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]], axis=1)
+                low = np.empty((len(order), 16), dtype=np.uint8)
+                low[:, :5] = codes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                low[:, 5:8] = wide[order, :3]
+                low[:, 8:] = marks[order].view(np.uint8).reshape(-1, 8)
                 there, edges = np.unique(part[order], return_index=True)
                 edges = np.append(edges, len(order))
                 yield pd.DataFrame({"part": there.astype(np.int32), "entries": [low[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]})
@@ -200,15 +222,14 @@ def _entries(parts: int):
 
 def _paired(part: int, packed: list[bytes], run_limit: int) -> Iterator[pd.DataFrame]:
     """Pairs (a, b) of classes of a part that share a block; of blocks shared by too many, the entries (a, block)."""
-    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 10)
-    wide = np.zeros((len(raw), 16), dtype=np.uint8)
-    wide[:, :5], wide[:, 8:13] = raw[:, :5], raw[:, 5:]
-    keys = wide.view("<u8")
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
-    block, cls = keys[order, 0], keys[order, 1].astype(np.int64)
-    new = np.ones(len(block), dtype=bool)
-    new[1:] = (block[1:] != block[:-1]) | (cls[1:] != cls[:-1])
-    block, cls = block[new], cls[new]
+    raw = np.frombuffer(b"".join(packed), "<u8").reshape(-1, 2)
+    # The first word is the block above the class.
+    order = np.argsort(raw[:, 0], kind="stable")
+    word, mark = raw[order, 0], raw[order, 1]
+    new = np.ones(len(word), dtype=bool)
+    new[1:] = (word[1:] != word[:-1]) | (mark[1:] != mark[:-1])
+    word, mark = word[new], mark[new]
+    block, cls = word >> np.uint64(40), (word & np.uint64((1 << 40) - 1)).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     runs = np.diff(np.concatenate([starts, [len(block)]]))
     hot = np.repeat(runs > run_limit, runs)
@@ -223,11 +244,13 @@ def _paired(part: int, packed: list[bytes], run_limit: int) -> Iterator[pd.DataF
         end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
         own = place[at:end]
         first = np.repeat(np.arange(at, end), own)
-        back = np.arange(len(first)) - np.repeat(np.cumsum(own) - own, own) + 1
+        other = first - 1 - (np.arange(len(first)) - np.repeat(np.cumsum(own) - own, own))
+        near = np.flatnonzero(np.bitwise_count(mark[first] ^ mark[other]) <= MARKS_APART)
+        a, b = cls[other[near]], cls[first[near]]
         # Codes begin with the size, so pairs of sizes too far apart show at once (one step of slack for rounding).
-        close = (cls[first] >> _HASH_BITS) - (cls[first - back] >> _HASH_BITS) <= np.log(1 / SIMILARITY) * _STEPS + 1
+        close = ((b >> _HASH_BITS) - (a >> _HASH_BITS) <= np.log(1 / SIMILARITY) * _STEPS + 1) & (a != b)
         if close.any():
-            pairs = np.unique(np.stack([cls[(first - back)[close]], cls[first[close]]], axis=1), axis=0)
+            pairs = np.unique(np.stack([a[close], b[close]], axis=1), axis=0)
             yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "block": None})
         at = end
 
@@ -285,7 +308,15 @@ def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        ok = [sketch_distance(x, y) <= most_difference(m, n) for x, y, m, n in zip(pdf["sketch_a"], pdf["sketch_b"], pdf["size_a"], pdf["size_b"])]
+        ok = np.zeros(len(pdf), dtype=bool)
+        a, b = pdf["sketch_a"].to_numpy(), pdf["sketch_b"].to_numpy()
+        both = (pdf["size_a"] + pdf["size_b"]).to_numpy(np.int64)
+        for (wa, wb), at in pdf.groupby([pdf["sketch_a"].map(len), pdf["sketch_b"].map(len)]).indices.items():
+            step = max(1, PAIRS * 8 // max(wa, wb))
+            for own in (at[k : k + step] for k in range(0, len(at), step)):
+                x, y = (_folded(np.frombuffer(b"".join(z[own]), np.uint8).reshape(len(own), w), min(wa, wb)) for z, w in ((a, wa), (b, wb)))
+                far = np.bitwise_count(np.ascontiguousarray(x).view("<u8") ^ np.ascontiguousarray(y).view("<u8")).sum(axis=1, dtype=np.int64)
+                ok[own] = far <= np.floor(both[own] * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9)
         yield pdf.loc[ok, ["class_a", "class_b", "rep_a", "rep_b"]]
 
 
@@ -314,8 +345,8 @@ def _within_sizes() -> Column:
 def class_pairs(members: DataFrame) -> DataFrame:
     """(class_a, class_b, rep_a, rep_b): classes of ``members`` that share a block and pass the bounds, with their smallest ids."""
     there = members.filter("blocks IS NOT NULL")
-    parts = max(1, -(-(there.agg(F.sum(F.length("blocks"))).first()[0] or 0) // (8 * ENTRIES)))
-    entries = there.select("code", "blocks").mapInPandas(_entries(parts), "part int, entries binary")
+    parts = max(1, -(-(there.agg(F.sum(F.length("blocks"))).first()[0] or 0) // (6 * ENTRIES)))
+    entries = there.select("code", "blocks", "marks").mapInPandas(_entries(parts), "part int, entries binary")
     found = stored(entries.repartition("part").sortWithinPartitions("part").mapInPandas(_joined(RUN_LIMIT), "a long, b long, block string"))
     classes = stored(members.groupBy("class").agg(F.min(F.struct("id", "code", "size", "sketch")).alias("one")).select("class", "one.*"))
     side = lambda s: classes.select(F.col("code").alias(s), F.col("class").alias(f"class_{s}"), F.col("id").alias(f"rep_{s}"), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
@@ -376,8 +407,8 @@ def _prefixes(docs: DataFrame):
 
 
 def memberships(docs: DataFrame, exact: bool = False) -> DataFrame:
-    """(id, class, code, size, sketch, blocks) of every text long enough, from one pass over the texts."""
-    schema = "id string, class long, code long, size int, sketch binary, blocks binary"
+    """(id, class, code, size, sketch, blocks, marks) of every text long enough, from one pass over the texts."""
+    schema = "id string, class long, code long, size int, sketch binary, blocks binary, marks binary"
     return stored(docs.select("id", "content").mapInPandas(_members(_prefixes(docs) if exact else None), schema))
 
 

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm import flows, near, neighbours, packing, tokens
+from tessella.runtime import stored
 
 ROWS = "id string, content string"
 VOCABULARY = f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}"
@@ -106,6 +107,34 @@ def test_block_recall():
     assert missed <= 3
 
 
+def test_recall_with_marks():
+    rng = np.random.default_rng(1)
+    missed = 0
+    for _ in range(1000):
+        core = rng.integers(0, 1 << 63, 280, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([core, rng.integers(0, 1 << 63, 60, dtype=np.uint64)])) for _ in range(2))  # J = 0.7
+        (x, y), marks = near._sketched([a, b])
+        close = np.bitwise_count(marks[0] ^ marks[1]) <= near.MARKS_APART
+        missed += not ((x == y).reshape(near.ROUNDS, -1).any(axis=1) & close).any()
+    assert missed <= 3
+
+
+def test_blocks_shared_by_chance_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    phrases = [_text(rng, 6) for _ in range(30)]
+    rows = [(f"{n:04d}", ". ".join(rng.sample(phrases, 14))) for n in range(400)]  # a similarity of some 0.3
+    rows += [(f"{i}x", _edited(rng, t, 2)) for i, t in rows[:40]]
+    docs = spark.createDataFrame(rows, ROWS)
+    kept = []
+    monkeypatch.setattr(near, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    members = near.memberships(docs)
+    got = {(r.rep_a, r.rep_b) for r in near.class_pairs(members).collect()}
+    found = next(df for df in kept if df.columns == ["a", "b", "block"])
+    assert found.filter("b IS NOT NULL").select("a", "b").distinct().count() < 1_500  # 4,505 of 96,580 pairs share a block of five rounds
+    assert sorted(map(tuple, near.near_duplicates(docs).collect())) == _brute(rows)
+    assert {(i, f"{i}x") for i, _ in rows[:40]} <= got | {(b, a) for a, b in got}
+
+
 # Vectors
 
 
